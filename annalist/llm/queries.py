@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from annalist.llm import terms, unify
+from annalist.llm import cluster, split, terms, unify
 from annalist.plans.registry import Registry, table
 
 R = Registry()
@@ -90,3 +90,44 @@ def p5_found(spark, sf_dir):
     return chunk.select(F.lit("chunk").alias("level_name"), F.col("record").cast("long").alias("record_key"), "term").unionByName(
         cluster.select(F.lit("cluster").alias("level_name"), F.col("grp").cast("long").alias("record_key"), "term")
     )
+
+
+def _pieces(spark, sf_dir, whole):
+    seg = split.split_oversized(table(spark, sf_dir, "corpus_segments"), "sentence", ["row_id", "filename", "location", "from_word"], 250, 20, whole)
+    chunk = split.split_oversized(table(spark, sf_dir, "rabani_unsmoothed_table"), "chunk", ["row_id", "filename", "chunk_number"], 50, 5, whole)
+    return seg, chunk
+
+
+@R.add("p6_pieces")
+def p6_pieces(spark, sf_dir):
+    """Every piece with its place: location and words of the unit, or filename, chunk number and words of the chunk."""
+    seg, chunk = _pieces(spark, sf_dir, True)
+    return seg.toDF("row_id", "filename", "location", "unit_from", "piece_no", "pieces", "from_word", "to_word", "piece").select(
+        F.lit("corpus_segments").alias("tbl"), "row_id", "filename", "location", F.lit(None).cast("int").alias("chunk_number"), "piece_no", "pieces", "from_word", "to_word",
+        (F.col("unit_from") + F.col("from_word") - 1).alias("unit_word"), "piece",
+    ).unionByName(chunk.select(F.lit("rabani_unsmoothed_table").alias("tbl"), "*"), allowMissingColumns=True)
+
+
+def _n_words(column: str) -> str:
+    return f"len({_words(column)})"
+
+
+@R.add(
+    "p6_found",
+    f"""SELECT 'corpus_segments' AS tbl, row_id FROM corpus_segments WHERE {_n_words("sentence")} > 250
+      UNION ALL SELECT 'rabani_unsmoothed_table', row_id FROM rabani_unsmoothed_table WHERE {_n_words("chunk")} > 50""",
+)
+def p6_found(spark, sf_dir):
+    seg, chunk = (p.where("piece_no = 1 AND pieces > 1").select("row_id") for p in _pieces(spark, sf_dir, False))
+    return seg.select(F.lit("corpus_segments").alias("tbl"), "row_id").unionByName(chunk.select(F.lit("rabani_unsmoothed_table").alias("tbl"), "row_id"))
+
+
+@R.add("p7_found")
+def p7_found(spark, sf_dir):
+    out = cluster.relabelled(table(spark, sf_dir, "rabani_unsmoothed_table"), "row_id", "vec", "scluster")
+    return out.select(F.col("row").alias("row_id"), F.col("prevailing").alias("scluster"))
+
+
+@R.add("p7_clusters")
+def p7_clusters(spark, sf_dir):
+    return cluster.describe_clusters(table(spark, sf_dir, "rabani_unsmoothed_table"), "row_id", "vec", "scluster")
