@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from annalist.llm import cluster, split, terms, unify
+from annalist.llm import cluster, moderation, split, terms, tokenize, unify
 from annalist.plans.registry import Registry, table
 
 R = Registry()
@@ -131,3 +131,35 @@ def p7_found(spark, sf_dir):
 @R.add("p7_clusters")
 def p7_clusters(spark, sf_dir):
     return cluster.describe_clusters(table(spark, sf_dir, "rabani_unsmoothed_table"), "row_id", "vec", "scluster")
+
+
+@R.add("p8_ids")
+def p8_ids(spark, sf_dir):
+    return tokenize.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@R.add("p8_decoded", "SELECT doc_id, coalesce(text, '') AS text FROM documents")
+def p8_decoded(spark, sf_dir):
+    return tokenize.decode(p8_ids(spark, sf_dir), "doc_id", spark)
+
+
+def _moderated(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = moderation.train(docs, table(spark, sf_dir, "doc_labels"))
+    return moderation.score_documents(docs, model, ["doc_id", "source"])
+
+
+@R.add("p10_scores")
+def p10_scores(spark, sf_dir):
+    return _moderated(spark, sf_dir)
+
+
+@R.add("p10_rates")
+def p10_rates(spark, sf_dir):
+    return moderation.source_rates(_moderated(spark, sf_dir))
+
+
+@R.add("p10_found")
+def p10_found(spark, sf_dir):
+    flags = F.array(*[F.when(F.col(f"flag_{c}"), F.lit(c)) for c in moderation.CATEGORIES])
+    return _moderated(spark, sf_dir).select("doc_id", F.explode(flags).alias("category")).where("category IS NOT NULL")
