@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from annalist.llm import cluster, moderation, split, terms, tokenize, unify
+from annalist.llm import cluster, mix, moderation, split, terms, tokenize, unify
 from annalist.plans.registry import Registry, table
 
 R = Registry()
@@ -163,3 +163,18 @@ def p10_rates(spark, sf_dir):
 def p10_found(spark, sf_dir):
     flags = F.array(*[F.when(F.col(f"flag_{c}"), F.lit(c)) for c in moderation.CATEGORIES])
     return _moderated(spark, sf_dir).select("doc_id", F.explode(flags).alias("category")).where("category IS NOT NULL")
+
+
+def _sized(spark, sf_dir):
+    return mix.sized(table(spark, sf_dir, "documents"), "doc_id", "source", "text")
+
+
+@R.add("p9_mixture")
+def p9_mixture(spark, sf_dir):
+    return mix.mixture(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+@R.add("p9_shares")
+def p9_shares(spark, sf_dir):
+    sizes, targets = _sized(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    return mix.shares(mix.mixture(sizes, targets), sizes, targets)
