@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from annalist.llm import cluster, mix, moderation, split, terms, tokenize, unify
+from annalist.llm import cluster, entities, mix, moderation, split, terms, tokenize, unify
 from annalist.plans.registry import Registry, table
 
 R = Registry()
@@ -178,3 +178,13 @@ def p9_mixture(spark, sf_dir):
 def p9_shares(spark, sf_dir):
     sizes, targets = _sized(spark, sf_dir), table(spark, sf_dir, "mix_targets")
     return mix.shares(mix.mixture(sizes, targets), sizes, targets)
+
+
+@R.add("p4_found")
+def p4_found(spark, sf_dir):
+    return p4_matches(spark, sf_dir).select("filename", "old_id")
+
+
+@R.add("p4_matches")
+def p4_matches(spark, sf_dir):
+    return entities.match(table(spark, sf_dir, "corpus_catalog"), table(spark, sf_dir, "old_catalog"))
