@@ -103,13 +103,14 @@ def sized(docs: DataFrame, doc_id: str, source: str, text: str, **tokenizer) ->
     keyed = d.where("source IS NOT NULL").select("doc_id", "source", F.unhex(F.md5(F.col("text"))).alias("h")).join(n, "doc_id").where("tokens > 0")
     keyed = materialize(keyed, "sized")
     same = keyed.groupBy("source", "h").agg(F.count(F.lit(1)).alias("same"))
-    return keyed.join(same, ["source", "h"]).select("doc_id", "source", "tokens", "same")
+    return materialize(keyed.join(same, ["source", "h"]).select("doc_id", "source", "tokens", "same"), "sizes")
 
 
 def mixture(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 20) -> DataFrame:
     """(doc_id, source, tokens, copies) of the documents in the mixture, each once with its number of copies."""
-    planned = plan(sizes, targets, total_tokens)
-    return pareto_sample(expected_copies(eligible(sizes, planned), planned), seed)
+    planned = materialize(plan(sizes, targets, total_tokens), "planned")
+    kept = materialize(eligible(sizes, planned), "eligible")
+    return pareto_sample(materialize(expected_copies(kept, planned), "expected"), seed)
 
 
 def shares(mixed: DataFrame, sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
