@@ -247,11 +247,11 @@ def candidates(records: DataFrame, bits: int) -> DataFrame:
         now = sized if depth == 32 else sized.where(F.col("n") <= CAP)
         a = now.where("side = 'a'").select("tbl", "bucket", F.col("rid").alias("a"))
         b = now.where("side = 'b'").select("tbl", "bucket", F.col("rid").alias("b"))
-        p = a.join(b, ["tbl", "bucket"]).select("a", "b")
+        p = materialize(a.join(b, ["tbl", "bucket"]).select("a", "b"), "candidates")
         pairs = p if pairs is None else pairs.unionByName(p)
-        if depth == 32:
+        c = materialize(sized.where(F.col("n") > CAP).select("rid", "side", "tbl", "code"), "crowded")
+        if depth == 32 or not c.take(1):
             return pairs.distinct()
-        c = sized.where(F.col("n") > CAP).drop("bucket", "n")
         depth = min(32, depth + 6)
 
 
@@ -278,7 +278,10 @@ def compare(pairs: DataFrame, records: DataFrame) -> DataFrame:
     a = records.where("side = 'a'").select(*[F.col(c).alias(f"{c}_a") for c in cols])
     b = records.where("side = 'b'").select(*[F.col(c).alias(f"{c}_b") for c in cols])
     j = pairs.join(a, pairs.a == a.rid_a).join(b, pairs.b == b.rid_b)
-    cos = F.aggregate(F.zip_with("vec_a", "vec_b", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    product = F.aggregate(F.zip_with("vec_a", "vec_b", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    names = [f"{c}_{side}" for side in "ab" for c in _NAMES]
+    alike = [_alike(f"{c}_a", f"{c}_b").alias(f"{c}_alike") for c in ("latin", "hebrew", "on_latin", "on_hebrew")]
+    j = j.select("a", "b", *names, product.alias("cosine"), *alike)
     digits = F.levenshtein(F.col("year_a").cast("string"), F.col("year_b").cast("string"))
     year = F.when(F.col("year_a").isNull() & F.col("year_b").isNull(), 1).when(F.col("year_a").isNull(), -2).when(F.col("year_b").isNull(), 0)
     year = year.when(F.col("year_a") == F.col("year_b"), 3).when((digits == 1) | (F.abs(F.col("year_a") - F.col("year_b")) <= 2), 2).otherwise(-1)
@@ -286,12 +289,12 @@ def compare(pairs: DataFrame, records: DataFrame) -> DataFrame:
     place = place.when(F.col("place_a") == F.col("place_b"), 2).otherwise(-1)
     ratio = F.abs(F.ln(F.col("words_a") / F.col("words_b")))
     words = F.when(ratio.isNull(), -1).when(ratio <= 0.06, 3).when(ratio <= 0.3, 2).when(ratio <= 1, 1).otherwise(0)
-    on = F.greatest(_alike("on_latin_a", "on_latin_b"), _alike("on_hebrew_a", "on_hebrew_b"))
+    on = F.greatest("on_latin_alike", "on_hebrew_alike")
     has_a, has_b = (F.col(f"on_latin_{s}").isNotNull() | F.col(f"on_hebrew_{s}").isNotNull() for s in "ab")
     on = F.when(~has_a & ~has_b, 3).when(has_a != has_b, -1).otherwise(_level(on, 0.4, 0.6))
     return j.select(
-        "a", "b", cos.alias("cosine"), _level(cos, 0.5, 0.7, 0.85).alias("o_cosine"), _level(_alike("latin_a", "latin_b"), 0.5, 0.65, 0.8, 0.95).alias("o_latin"),
-        _level(_alike("hebrew_a", "hebrew_b"), 0.4, 0.6, 0.75, 0.95).alias("o_hebrew"), F.when(F.col("kind_a").isNull() | F.col("kind_b").isNull(), 0).when(F.col("kind_a") == F.col("kind_b"), 1).otherwise(-1).alias("o_kind"),
+        "a", "b", "cosine", _level(F.col("cosine"), 0.5, 0.7, 0.85).alias("o_cosine"), _level(F.col("latin_alike"), 0.5, 0.65, 0.8, 0.95).alias("o_latin"),
+        _level(F.col("hebrew_alike"), 0.4, 0.6, 0.75, 0.95).alias("o_hebrew"), F.when(F.col("kind_a").isNull() | F.col("kind_b").isNull(), 0).when(F.col("kind_a") == F.col("kind_b"), 1).otherwise(-1).alias("o_kind"),
         _same("part_a", "part_b").alias("o_part"), _same("size_a", "size_b").alias("o_size"), on.cast("int").alias("o_on"), year.cast("int").alias("o_year"), place.cast("int").alias("o_place"), words.cast("int").alias("o_words"),
         F.coalesce((F.col("category_a") == F.col("category_b")).cast("int"), F.lit(-1)).alias("o_category"),
     )
@@ -332,19 +335,11 @@ def calibrate(compared: DataFrame, rounds: int = 20) -> DataFrame:
         score = prior + sum(t[at] for t, (at, _) in zip(tables, codes, strict=True))
         post = np.exp(score - score.max(1, keepdims=True))
         post /= post.sum(1, keepdims=True)
-    classes = []
-    for k in range(3):
-        total = F.lit(float(prior[k]))
-        for c, t, (_, levels) in zip(_OUTCOMES, tables, codes, strict=True):
-            level = F.lit(0.0)
-            for v, x in zip(levels, t[:, k], strict=True):
-                level = F.when(F.col(c) == int(v), float(x)).otherwise(level)
-            total = total + level
-        classes.append(total)
-    out = pairs.select("*", *[c.alias(f"c{k}") for k, c in enumerate(classes)])
-    top = F.greatest("c1", "c2")
-    weight = F.col("c0") - top - F.ln(F.exp(F.col("c1") - top) + F.exp(F.col("c2") - top))
-    return out.withColumn("weight", weight).withColumn("confidence", 1 / (1 + F.exp(-F.col("weight")))).drop("c0", "c1", "c2")
+    # the patterns come back as a table as small as the one above
+    weight = score[:, 0] - np.logaddexp(score[:, 1], score[:, 2])
+    rows = [(*map(int, r), float(w), float(1 / (1 + math.exp(-max(-700.0, min(700.0, w)))))) for r, w in zip(counts[_OUTCOMES].itertuples(index=False), weight, strict=True)]
+    patterns = pairs.sparkSession.createDataFrame(rows, ", ".join(f"{c} int" for c in _OUTCOMES) + ", weight double, confidence double")
+    return pairs.join(F.broadcast(patterns), _OUTCOMES)
 
 
 def prepare(catalog: DataFrame, old: DataFrame) -> tuple[DataFrame, DataFrame]:
