@@ -1,3 +1,3 @@
 """Named queries over the test tables; each module has a Registry R."""
 
-MODULES = ["annalist.plans.skew_queries", "annalist.plans.corpus_queries"]
+MODULES = ["annalist.plans.skew_queries", "annalist.plans.corpus_queries", "annalist.plans.cluster_queries"]
