@@ -35,11 +35,15 @@ def tokens(text) -> Column:
 
 def ngrams(array, n: int) -> Column:
     """All n-grams of an array of tokens, joined by a blank; empty where it is shorter than n."""
-    a = _c(array)
     if n == 1:
-        return a
-    starts = F.when(F.size(a) >= n, F.sequence(F.lit(1), F.size(a) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(a, i, F.lit(n)), " "))
+        return _c(array)
+
+    def of(a: Column) -> Column:
+        starts = F.when(F.size(a) >= n, F.sequence(F.lit(1), F.size(a) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(a, i, F.lit(n)), " "))
+
+    # binds the array to a variable, so that an expression that makes it runs once and not once per n-gram
+    return F.element_at(F.transform(F.array(_c(array)), of), 1)
 
 
 def snippet(text, n: int = 120) -> Column:
