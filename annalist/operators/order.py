@@ -29,21 +29,14 @@ def running_total(df: DataFrame, group: list[str], order: str, value: Column, ou
     Two levels: sums per block of ``order``, their running sum, and a window within each block; a group that holds a
     third of all rows is spread over its blocks.
     """
-    d = df.withColumn("__v", value).withColumn("__k", F.floor(F.col(order) / block))
-    w = Window.partitionBy(*group).orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = d.groupBy(*group, "__k").agg(F.sum("__v").alias("__s")).withColumn("__b", F.coalesce(F.sum("__s").over(w), F.lit(0))).drop("__s")
-    cond = [d[g].eqNullSafe(blocks[g]) for g in group] + [d["__k"].eqNullSafe(blocks["__k"])]
-    renamed = blocks.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__k").alias("__k2"), "__b")
-    cond = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)] + [F.col("__k").eqNullSafe(F.col("__k2"))]
-    j = d
-    for c in cond[1:]:
-        cond[0] = cond[0] & c
-    j = d.join(renamed, cond[0], "left")
-    inner = Window.partitionBy(*group, "__k").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return j.withColumn(out, F.col("__b") + F.coalesce(F.sum("__v").over(inner), F.lit(0))).drop("__v", "__k", "__k2", "__b", *[f"__g{i}" for i in range(len(group))])
-
-
-def average_rank(partition: list, order: Column, name: str = "r") -> Column:
-    """Rank with ties sharing the mean of their places, as pandas ranks."""
-    w = Window.partitionBy(*partition).orderBy(order)
-    return (F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(*partition, name)) - 1) / 2).cast("double")
+    names = [f"__rt_g{i}" for i in range(len(group))]
+    d = df.withColumn("__rt_v", value).withColumn("__rt_k", F.floor(F.col(order) / block))
+    sums = d.groupBy(*[F.col(g).alias(n) for g, n in zip(group, names, strict=True)], F.col("__rt_k").alias("__rt_k2")).agg(F.sum("__rt_v").alias("__rt_s"))
+    w = Window.partitionBy(*names).orderBy("__rt_k2").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("__rt_b", F.coalesce(F.sum("__rt_s").over(w), F.lit(0))).drop("__rt_s")
+    cond = F.col("__rt_k").eqNullSafe(F.col("__rt_k2"))
+    for g, n in zip(group, names, strict=True):
+        cond = cond & F.col(g).eqNullSafe(F.col(n))
+    inner = Window.partitionBy(*group, "__rt_k").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out_value = F.col("__rt_b") + F.coalesce(F.sum("__rt_v").over(inner), F.lit(0))
+    return d.join(sums, cond, "left").withColumn(out, out_value).drop("__rt_v", "__rt_k", "__rt_k2", "__rt_b", *names)
