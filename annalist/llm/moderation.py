@@ -34,7 +34,7 @@ BUCKETS = 1 << 18
 #: The classifier is fitted on no more labelled documents than this (the first by hash of the id); all are scored.
 MAX_LABELLED = 40_000
 
-_END = re.compile(r"(?<=[.!?;:׃…])[\"'”’)\]]*\s+|[\r\n\t\x0b\x0c\x85  ]+| {2,}")
+_END = re.compile(r"(?<=[.!?;:׃…])[\"'”’)\]]*\s+|[\r\n\t\x0b\x0c\x85\u2028\u2029]+| {2,}")
 _APART = re.compile(r"(?<![\w*])(?:[^\W\d_][ .\-_·]){2,}[^\W\d_](?![\w*])")
 _TOKEN = re.compile(r"[\w*$@]+")
 _AGAIN = re.compile(r"(.)\1+")

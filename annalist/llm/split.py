@@ -28,7 +28,7 @@ def boundary_strengths(text: str, spans: list[tuple[int, int]]) -> list[int]:
     out = []
     for k, (a, b) in enumerate(spans):
         gap = text[b : spans[k + 1][0]] if k + 1 < len(spans) else ""
-        if any(c in "\n\r  \x0b\x0c\x85" for c in gap):
+        if any(c in "\n\r\u2028\u2029\x0b\x0c\x85" for c in gap):
             out.append(3)
             continue
         last = text[a:b].rstrip(_CLOSE)[-1:]
