@@ -38,7 +38,7 @@ def unit_id(text, n: int = 60) -> Column:
 
 def isolate_reference(text) -> Column:
     """A trailing reference such as ``12:3`` wrapped in direction isolates."""
-    return F.regexp_replace(_c(text), r"([0-9]+(?:[:_][0-9]+)*)$", "⁦$1⁩")
+    return F.regexp_replace(_c(text), r"([0-9]+(?:[:_][0-9]+)*)$", "\u2066$1\u2069")
 
 
 def percent(x) -> Column:

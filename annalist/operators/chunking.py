@@ -36,28 +36,51 @@ def chunk_words(segments: DataFrame, size: int) -> DataFrame:
     return e.select("filename", (F.floor(p / size) + 1).cast("int").alias("chunk_number"), p.alias("p"), "word", "segment", (F.col("k") + 1).alias("segment_word"), "unit", (F.col("from_word") + F.col("k")).cast("int").alias("unit_word"))
 
 
+def chunk_pieces(segments: DataFrame, size: int) -> DataFrame:
+    """(filename, chunk_number, lo, hi, words, segment, w_lo, w_hi, unit, u_lo, u_hi): overlaps of rows and chunks.
+
+    ``lo`` and ``hi`` count the words of the chunk from 1, ``w_*`` those of the row, ``u_*`` those of the unit. A row
+    makes as many pieces as chunks it touches; single words are never made rows.
+    """
+    u = running_total(segment_units(segments), ["filename"], "segment", F.col("n").cast("long"), "start")
+    last = F.floor((F.col("start") + F.col("n") - 1) / size)
+    e = u.withColumn("c", F.explode(F.sequence(F.floor(F.col("start") / size), last)))
+    a = F.greatest(F.col("c") * size, F.col("start"))
+    z = F.least((F.col("c") + 1) * size, F.col("start") + F.col("n")) - 1
+    e = e.withColumn("a", a).withColumn("z", z).withColumn("w_lo", (F.col("a") - F.col("start") + 1).cast("int")).withColumn("w_hi", (F.col("z") - F.col("start") + 1).cast("int"))
+    return e.select(
+        "filename", (F.col("c") + 1).cast("int").alias("chunk_number"), (F.col("a") - F.col("c") * size + 1).cast("int").alias("lo"), (F.col("z") - F.col("c") * size + 1).cast("int").alias("hi"),
+        F.array_join(F.slice("w", F.col("w_lo"), F.col("w_hi") - F.col("w_lo") + 1), " ").alias("words"), "segment", "w_lo", "w_hi", "unit",
+        (F.col("from_word") + F.col("w_lo") - 1).cast("int").alias("u_lo"), (F.col("from_word") + F.col("w_hi") - 1).cast("int").alias("u_hi"),
+    )
+
+
 def chunk_table(segments: DataFrame, size: int = 50) -> DataFrame:
     """One row per chunk: text, spans of units, and where it starts and ends.
 
-    Consecutive words of one unit make a span; spans are rendered ``lo–hi: unit [from–to]``, joined by `` | ``.
-    Work stays within (file, chunk), so a file that holds a third of the words spreads over its chunks.
+    Consecutive pieces of one unit make a span; spans are rendered ``lo–hi: unit [from–to]``, joined by `` | ``. All
+    work is within a chunk, so a file that holds a third of the words spreads over its chunks.
     """
-    w = chunk_words(segments, size)
-    chunk = Window.partitionBy("filename", "chunk_number").orderBy("p")
-    new = (F.lag("unit").over(chunk).isNull() | ~F.lag("unit").over(chunk).eqNullSafe(F.col("unit"))).cast("int")
-    w = w.withColumn("island", F.sum(new).over(chunk)).withColumn("q", F.row_number().over(chunk))
-    spans = w.groupBy("filename", "chunk_number", "island").agg(
-        F.min("q").alias("lo"), F.max("q").alias("hi"), F.first("unit").alias("unit"), F.min_by("unit_word", "q").alias("u_lo"), F.max_by("unit_word", "q").alias("u_hi"),
-        F.array_sort(F.collect_list(F.struct("q", "word"))).alias("ws"), F.min_by("segment", "q").alias("s_lo"), F.min_by("segment_word", "q").alias("sw_lo"), F.max_by("segment", "q").alias("s_hi"), F.max_by("segment_word", "q").alias("sw_hi"),
-    )
-    text = F.concat_ws("", F.col("lo").cast("string"), F.lit("–"), F.col("hi").cast("string"), F.lit(": "), "unit", F.lit(" ["), F.col("u_lo").cast("string"), F.lit("–"), F.col("u_hi").cast("string"), F.lit("]"))
-    spans = spans.withColumn("span", text)
-    out = spans.groupBy("filename", "chunk_number").agg(
-        F.array_sort(F.collect_list(F.struct("lo", "span", "ws"))).alias("parts"), F.min_by("s_lo", "lo").alias("start_segment"), F.min_by("sw_lo", "lo").alias("start_segment_word"), F.max_by("s_hi", "lo").alias("end_segment"),
-        F.max_by("sw_hi", "lo").alias("end_segment_word"), F.min_by("unit", "lo").alias("start_unit"), F.min_by("u_lo", "lo").alias("start_unit_word"), F.max_by("unit", "lo").alias("end_unit"), F.max_by("u_hi", "lo").alias("end_unit_word"),
+    fields = ["lo", "hi", "words", "segment", "w_lo", "w_hi", "unit", "u_lo", "u_hi"]
+    c = chunk_pieces(segments, size).groupBy("filename", "chunk_number").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("p"))
+
+    def merge(done, x):
+        """Piece x widens the last span where it has its unit, else begins a new one."""
+        span = lambda lo, u_lo: F.struct(lo.alias("lo"), x["hi"].alias("hi"), x["unit"].alias("unit"), u_lo.alias("u_lo"), x["u_hi"].alias("u_hi"))
+        last = F.get(done, F.size(done) - 1)
+        same = (F.size(done) > 0) & last["unit"].eqNullSafe(x["unit"])
+        kept = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(same, F.concat(kept, F.array(span(last["lo"], last["u_lo"])))).otherwise(F.concat(done, F.array(span(x["lo"], x["u_lo"]))))
+
+    empty = F.array().cast("array<struct<lo:int,hi:int,unit:string,u_lo:int,u_hi:int>>")
+    c = c.withColumn("spans", F.aggregate("p", empty, merge))
+    text = lambda s: F.concat(s["lo"].cast("string"), F.lit("–"), s["hi"].cast("string"), F.lit(": "), F.coalesce(s["unit"], F.lit("")), F.lit(" ["), s["u_lo"].cast("string"), F.lit("–"), s["u_hi"].cast("string"), F.lit("]"))
+    first, last = F.get("p", F.lit(0)), F.get("p", F.size("p") - 1)
+    return c.select(
+        "filename", "chunk_number", F.array_join(F.transform("p", lambda x: x["words"]), " ").alias("chunk"), F.array_join(F.transform("spans", text), " | ").alias("ref_spans"),
+        first["segment"].alias("start_segment"), first["w_lo"].alias("start_segment_word"), last["segment"].alias("end_segment"), last["w_hi"].alias("end_segment_word"),
+        first["unit"].alias("start_unit"), first["u_lo"].alias("start_unit_word"), last["unit"].alias("end_unit"), last["u_hi"].alias("end_unit_word"),
     )
-    chunk_text = F.array_join(F.transform(F.flatten(F.col("parts.ws")), lambda x: x["word"]), " ")
-    return out.select("filename", "chunk_number", chunk_text.alias("chunk"), F.array_join(F.col("parts.span"), " | ").alias("ref_spans"), "start_segment", "start_segment_word", "end_segment", "end_segment_word", "start_unit", "start_unit_word", "end_unit", "end_unit_word")
 
 
 def unit_at(segments: DataFrame, lookups: DataFrame) -> DataFrame:

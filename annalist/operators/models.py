@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -51,8 +51,6 @@ def embed_with(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]]
 
 
 def _iterator(load):
-    from collections.abc import Iterator
-
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
         for texts in parts:

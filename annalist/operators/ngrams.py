@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from annalist.functions.text import ngrams, tokens, words
 from annalist.operators.order import global_index
+from annalist.session import materialize
 
 NONE = "No n-grams available"
 
@@ -24,22 +25,27 @@ def top_ngrams(frame: DataFrame, n: int, k: int = 20) -> DataFrame:
     return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("scluster", "rank", "gram", "n")
 
 
-def stream_ngrams(frame: DataFrame, n: int) -> DataFrame:
-    """(scluster, gram): every n-gram of a cluster's token stream, across the borders of its chunks.
+def stream_ngrams(frame: DataFrame, *sizes: int) -> DataFrame:
+    """(scluster, size, gram): every n-gram of a cluster's token stream, across the borders of its chunks.
 
-    Chunks without tokens are skipped. A chunk is followed by the first tokens of the next n-1 chunks of its cluster,
+    Chunks without tokens are skipped. A chunk is followed by the first tokens of the next chunks of its cluster,
     which come by equi-joins on the place in the order of (cluster, idx): no window runs over a whole cluster.
     """
+    most = max(sizes)
     t = frame.select("scluster", "idx", tokens("chunk").alias("t")).where("size(t) > 0")
-    t = global_index(t, "scluster", "idx", out="g")
-    heads = t.select("scluster", "g", F.slice("t", 1, max(n - 1, 1)).alias("h"))
-    d = t
-    for i in range(1, n):
+    d = global_index(t, "scluster", "idx", out="g")
+    heads = d.select("scluster", "g", F.slice("t", 1, max(most - 1, 1)).alias("h"))
+    for i in range(1, most):
         nxt = heads.select(F.col("scluster").alias("c"), (F.col("g") - i).alias("at"), F.col("h").alias(f"h{i}"))
         d = d.join(nxt, (F.col("g") == F.col("at")) & (F.col("scluster") == F.col("c")), "left").drop("c", "at")
-    tail = F.concat(*[F.coalesce(f"h{i}", F.array().cast("array<string>")) for i in range(1, n)]) if n > 1 else None
-    stream = F.concat("t", F.slice(tail, 1, n - 1)) if n > 1 else F.col("t")
-    return d.select("scluster", F.explode(ngrams(stream, n)).alias("gram"))
+    none = F.array().cast("array<string>")
+    d = d.select("scluster", "t", F.concat(none, *[F.coalesce(f"h{i}", none) for i in range(1, most)]).alias("tail"))
+
+    def of(n: int):
+        stream = F.concat("t", F.slice("tail", 1, n - 1)) if n > 1 else F.col("t")
+        return F.transform(ngrams(stream, n), lambda g: F.struct(F.lit(n).alias("size"), g.alias("gram")))
+
+    return d.select("scluster", F.explode(F.concat(*[of(n) for n in sizes])).alias("x")).select("scluster", "x.size", "x.gram")
 
 
 def class_tf_idf(frame: DataFrame, sizes: tuple[int, ...] = (1, 2, 3), k: int = 20) -> DataFrame:
@@ -49,22 +55,20 @@ def class_tf_idf(frame: DataFrame, sizes: tuple[int, ...] = (1, 2, 3), k: int =
     number of clusters that hold the n-gram; ties go to the greater n-gram.
     """
     clusters = frame.agg(F.count_distinct("scluster").alias("clusters"))
-    out = None
-    for n in sizes:
-        c = stream_ngrams(frame, n).groupBy("gram", "scluster").agg(F.count(F.lit(1)).alias("tf_count"))
-        df = Window.partitionBy("gram")  # at most one row per cluster in a window
-        c = c.withColumn("df", F.count(F.lit(1)).over(df))
-        total = c.groupBy("scluster").agg(F.sum("tf_count").alias("total"))
-        c = c.join(F.broadcast(total), "scluster").join(F.broadcast(clusters))  # one row per cluster
-        score = F.col("tf_count") / F.col("total") * (F.ln((1 + F.col("clusters")) / (1 + F.col("df"))) + 1)
-        c = c.withColumn("score", F.round(score, 9))
-        # a salt by gram cuts the candidates of a large cluster before they are ranked together
-        first = Window.partitionBy("scluster", "salt").orderBy(F.desc("score"), F.desc("gram"))
-        c = c.withColumn("salt", F.pmod(F.xxhash64("gram"), F.lit(32))).withColumn("r", F.row_number().over(first)).where(F.col("r") <= k)
-        w = Window.partitionBy("scluster").orderBy(F.desc("score"), F.desc("gram"))
-        c = c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("scluster", F.lit(n).alias("size"), "rank", "gram", "tf_count", "df", "score")
-        out = c if out is None else out.unionByName(c)
-    return out
+    c = stream_ngrams(frame, *sizes).groupBy("size", "gram", "scluster").agg(F.count(F.lit(1)).alias("tf_count"))
+    c = materialize(c, "ngram-counts")
+    # one list per n-gram, no longer than there are clusters
+    g = c.groupBy("size", "gram").agg(F.collect_list(F.struct("scluster", "tf_count")).alias("in"))
+    g = g.select("size", "gram", F.size("in").alias("df"), F.explode("in").alias("x")).select("size", "gram", "df", "x.*")
+    total = c.groupBy("size", "scluster").agg(F.sum("tf_count").alias("total"))
+    g = g.join(F.broadcast(total), ["size", "scluster"]).join(F.broadcast(clusters))  # rows: clusters x sizes, and one
+    score = F.col("tf_count") / F.col("total") * (F.ln((1 + F.col("clusters")) / (1 + F.col("df"))) + 1)
+    g = g.withColumn("score", F.round(score, 9)).withColumn("salt", F.pmod(F.xxhash64("gram"), F.lit(32)))
+    # salted parts cut the candidates of a large cluster before they are ranked together
+    first = Window.partitionBy("size", "scluster", "salt").orderBy(F.desc("score"), F.desc("gram"))
+    g = g.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k)
+    w = Window.partitionBy("size", "scluster").orderBy(F.desc("score"), F.desc("gram"))
+    return g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("scluster", "size", "rank", "gram", "tf_count", F.col("df").cast("long").alias("df"), "score")
 
 
 def cluster_ngram_text(top: DataFrame, frame: DataFrame, separator: str = "<br>") -> DataFrame:

@@ -35,9 +35,9 @@ def benjamini_hochberg(df: DataFrame, p: str, out: str = "q", block: int = 20_00
     m = d.agg(F.count(F.lit(1)).alias("__m"))
     d = d.join(F.broadcast(m)).withColumn("__a", F.col(p) * F.col("__m") / (F.col("__k") + 1)).withColumn("__blk", F.floor(F.col("__k") / block))
     per = d.groupBy("__blk").agg(F.min("__a").alias("__min"))
-    after = Window.orderBy("__blk").rowsBetween(1, Window.unboundedFollowing)  # one row per block
+    after = Window.orderBy(F.desc("__blk")).rowsBetween(Window.unboundedPreceding, -1)  # one row per block
     per = per.select("__blk", F.min("__min").over(after).alias("__after"))
-    w = Window.partitionBy("__blk").orderBy("__k").rowsBetween(0, Window.unboundedFollowing)
+    w = Window.partitionBy("__blk").orderBy(F.desc("__k")).rowsBetween(Window.unboundedPreceding, 0)
     d = d.join(F.broadcast(per), "__blk")
     return d.withColumn(out, F.least(F.min("__a").over(w), F.coalesce("__after", F.lit(1.0)), F.lit(1.0))).drop("__k", "__m", "__a", "__blk", "__after")
 

@@ -47,14 +47,14 @@ def write_csv(df: DataFrame, path: str, bom: bool = True) -> None:
     flat = [F.to_json(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)) else F.col(f"`{f.name}`") for f in df.schema.fields]
     out = df.select(*flat)
     if bom and out.columns:
-        out = out.withColumnRenamed(out.columns[0], "﻿" + out.columns[0])
+        out = out.withColumnRenamed(out.columns[0], "\ufeff" + out.columns[0])
     out.write.mode("overwrite").option("header", True).option("quoteAll", False).option("escape", '"').csv(path)
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with header, all strings, a byte-order mark removed."""
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    return df.toDF(*[c.lstrip("﻿") for c in df.columns])
+    return df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
