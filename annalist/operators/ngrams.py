@@ -57,18 +57,22 @@ def class_tf_idf(frame: DataFrame, sizes: tuple[int, ...] = (1, 2, 3), k: int =
     clusters = frame.agg(F.count_distinct("scluster").alias("clusters"))
     c = stream_ngrams(frame, *sizes).groupBy("size", "gram", "scluster").agg(F.count(F.lit(1)).alias("tf_count"))
     c = materialize(c, "ngram-counts")
-    # one list per n-gram, no longer than there are clusters
-    g = c.groupBy("size", "gram").agg(F.collect_list(F.struct("scluster", "tf_count")).alias("in"))
-    g = g.select("size", "gram", F.size("in").alias("df"), F.explode("in").alias("x")).select("size", "gram", "df", "x.*")
-    total = c.groupBy("size", "scluster").agg(F.sum("tf_count").alias("total"))
-    g = g.join(F.broadcast(total), ["size", "scluster"]).join(F.broadcast(clusters))  # rows: clusters x sizes, and one
+    # A factor of the inverse frequency lies between 1 and its value at df = 1, so an n-gram whose count times that
+    # value stays below the k-th greatest count of its cluster cannot be among the k best: only the others are scored.
+    hist = c.groupBy("size", "scluster", "tf_count").agg(F.count(F.lit(1)).alias("grams"))
+    down = Window.partitionBy("size", "scluster").orderBy(F.desc("tf_count"))  # one row per distinct count
+    kth = hist.withColumn("upto", F.sum("grams").over(down)).groupBy("size", "scluster").agg(F.coalesce(F.max(F.when(F.col("upto") >= k, F.col("tf_count"))), F.lit(0)).alias("kth"), F.sum(F.col("grams") * F.col("tf_count")).alias("total"))
+    bounds = kth.join(F.broadcast(clusters))
+    most = F.ln((1 + F.col("clusters")) / F.lit(2.0)) + 1
+    near = c.join(F.broadcast(bounds), ["size", "scluster"]).where(F.col("tf_count") * most >= F.col("kth") - F.col("total") * 2e-9)  # rows: clusters x sizes
+    df = c.join(near.select("size", "gram").distinct(), ["size", "gram"], "left_semi").groupBy("size", "gram").agg(F.count(F.lit(1)).alias("df"))
+    g = near.join(df, ["size", "gram"])
     score = F.col("tf_count") / F.col("total") * (F.ln((1 + F.col("clusters")) / (1 + F.col("df"))) + 1)
+    w = Window.partitionBy("size", "scluster").orderBy(F.desc("score"), F.desc("gram"))
     g = g.withColumn("score", F.round(score, 9)).withColumn("salt", F.pmod(F.xxhash64("gram"), F.lit(32)))
     # salted parts cut the candidates of a large cluster before they are ranked together
-    first = Window.partitionBy("size", "scluster", "salt").orderBy(F.desc("score"), F.desc("gram"))
-    g = g.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k)
-    w = Window.partitionBy("size", "scluster").orderBy(F.desc("score"), F.desc("gram"))
-    return g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("scluster", "size", "rank", "gram", "tf_count", F.col("df").cast("long").alias("df"), "score")
+    g = g.withColumn("r", F.row_number().over(Window.partitionBy("size", "scluster", "salt").orderBy(F.desc("score"), F.desc("gram")))).where(F.col("r") <= k)
+    return g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("scluster", "size", "rank", "gram", "tf_count", "df", "score")
 
 
 def cluster_ngram_text(top: DataFrame, frame: DataFrame, separator: str = "<br>") -> DataFrame:
