@@ -321,3 +321,20 @@ def test_cache_key_is_canonical(spark):
     files = sorted(r.filename for r in spark.read.parquet("/root/testdata/sf0.001/corpus_catalog.parquet").where(F.col("cat1") == row.cat1).collect())
     want = hashlib.sha256(json.dumps({"files": files, "size": 50}, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()[:24]
     assert row.key == want
+
+
+def test_alignment(spark):
+    from annalist.operators import alignment
+
+    w = spark.createDataFrame([("a", 0, 'שד"ל'), ("a", 1, "-"), ("a", 2, "ab"), ("b", 0, "ab"), ("c", 0, "ab"), ("c", 1, "cd")], "text_id string, word_position int, word string")
+    rows = [("a", 0, "שד", "N", True), ("a", 1, '"', "PUNCT", False), ("a", 2, "ל", "V", False), ("a", 3, "ab", "A", False), ("a", 4, ".", "PUNCT", False), ("b", 0, "xy", "N", False), ("c", 0, "abc", "N", False), ("c", 1, "d", "N", False)]
+    t = spark.createDataFrame(rows, "text_id string, token_position int, token string, pos string, has_prefix boolean")
+    got = {(r.text_id, r.word_position): (r.pos, r.has_prefix) for r in alignment.align_tokens(w, t).collect()}
+    assert got == {("a", 0): ("N", True), ("a", 1): ("X", False), ("a", 2): ("A", False)}
+
+
+def test_tree_of_titles():
+    from annalist.operators.alignment import flatten_titles
+
+    tree = [{"heCategory": "א", "contents": [{"title": "T", "heTitle": "ת"}, {"heCategory": "ב", "contents": [{"title": " U ", "heTitle": "ו", "nodes": [{"title": "V", "heTitle": "ז"}]}]}]}, {"title": "T", "heTitle": "later"}, "x"]
+    assert flatten_titles(tree) == [("T", "ת", ["א"]), ("U", "ו", ["א", "ב"]), ("V", "ז", ["א", "ב"])]
