@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.functions.text import words
-from annalist.operators.order import running_total
+from annalist.operators.order import carry_forward, running_total
 
 
 def segment_units(segments: DataFrame) -> DataFrame:
@@ -19,10 +19,16 @@ def segment_units(segments: DataFrame) -> DataFrame:
     ref = F.when(F.startswith("location", prefix), F.substr("location", F.length(prefix) + 1)).otherwise(F.col("location"))
     d = segments.select("filename", "segment", words("sentence").alias("w"), F.greatest(F.coalesce("from_word", F.lit(1)), F.lit(1)).alias("from_word"), ref.alias("ref"))
     d = d.where("size(w) > 0").withColumn("n", F.size("w"))
-    file = Window.partitionBy("filename").orderBy("segment")
-    first = F.row_number().over(file) == 1
-    starts = F.when(first | (F.col("from_word") <= 1), F.col("ref"))
-    return d.withColumn("unit", F.last(starts, ignorenulls=True).over(file)).drop("ref")
+    start = d.groupBy(F.col("filename").alias("__f")).agg(F.min("segment").alias("__first"))
+    d = d.join(start, F.col("filename").eqNullSafe(F.col("__f")))
+    starts = F.when((F.col("segment") == F.col("__first")) | (F.col("from_word") <= 1), F.col("ref"))
+    return carry_forward(d, ["filename"], "segment", starts, "unit").drop("ref", "__f", "__first")
+
+
+def unit_starts(segments: DataFrame) -> DataFrame:
+    """segment_units with ``new``: whether the row begins another unit than the row before."""
+    u = carry_forward(segment_units(segments), ["filename"], "segment", F.col("unit"), "__before", strict=True)
+    return u.withColumn("new", ~F.col("__before").eqNullSafe(F.col("unit"))).drop("__before")
 
 
 def chunk_words(segments: DataFrame, size: int) -> DataFrame:
@@ -90,5 +96,5 @@ def unit_at(segments: DataFrame, lookups: DataFrame) -> DataFrame:
     """
     u = running_total(segment_units(segments), ["filename"], "segment", F.col("n").cast("long"), "p")
     both = u.select("filename", "p", F.lit(0).alias("kind"), F.struct("segment", "unit").alias("r")).unionByName(lookups.select("filename", F.col("p").cast("long").alias("p"), F.lit(1).alias("kind"), F.lit(None).cast("struct<segment:bigint,unit:string>").alias("r")))
-    w = Window.partitionBy("filename").orderBy("p", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("r", F.last("r", ignorenulls=True).over(w)).where("kind = 1").select("filename", "p", "r.segment", "r.unit")
+    both = carry_forward(both.withColumn("at", F.col("p") * 2 + F.col("kind")), ["filename"], "at", F.col("r"), "found")
+    return both.where("kind = 1").select("filename", "p", "found.segment", "found.unit")

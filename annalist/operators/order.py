@@ -40,3 +40,34 @@ def running_total(df: DataFrame, group: list[str], order: str, value: Column, ou
     inner = Window.partitionBy(*group, "__rt_k").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     out_value = F.col("__rt_b") + F.coalesce(F.sum("__rt_v").over(inner), F.lit(0))
     return d.join(sums, cond, "left").withColumn(out, out_value).drop("__rt_v", "__rt_k", "__rt_k2", "__rt_b", *names)
+
+
+def carry_forward(df: DataFrame, group: list[str], order: str, value: Column, out: str, strict: bool = False, block: int = 20_000) -> DataFrame:
+    """df with ``out`` = the last non-null ``value`` so far, per group in the order of the integer ``order``; with
+    ``strict`` of the rows before only. Two levels, as in running_total: no window runs over a whole group.
+    """
+    names = [f"__cf_g{i}" for i in range(len(group))]
+    d = df.withColumn("__cf_v", value).withColumn("__cf_k", F.floor(F.col(order) / block))
+    last = d.groupBy(*[F.col(g).alias(n) for g, n in zip(group, names, strict=True)], F.col("__cf_k").alias("__cf_k2")).agg(F.max_by("__cf_v", F.when(F.col("__cf_v").isNotNull(), F.col(order))).alias("__cf_l"))
+    w = Window.partitionBy(*names).orderBy("__cf_k2").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.withColumn("__cf_b", F.last("__cf_l", ignorenulls=True).over(w)).drop("__cf_l")
+    cond = F.col("__cf_k").eqNullSafe(F.col("__cf_k2"))
+    for g, n in zip(group, names, strict=True):
+        cond = cond & F.col(g).eqNullSafe(F.col(n))
+    inner = Window.partitionBy(*group, "__cf_k").orderBy(order).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
+    filled = F.coalesce(F.last("__cf_v", ignorenulls=True).over(inner), F.col("__cf_b"))
+    return d.join(last, cond, "left").withColumn(out, filled).drop("__cf_v", "__cf_k", "__cf_k2", "__cf_b", *names)
+
+
+def moving_mean(df: DataFrame, group: str, order: str, value: str, out: str, before: int, after: int, least: int, block: int = 20_000) -> DataFrame:
+    """df with ``out`` = mean of ``value`` over the rows from ``before`` before to ``after`` behind, null below ``least``
+    values; ``order`` counts the rows of the whole table without gaps, groups one after the other.
+
+    Rows near the border of a block are also sent to the neighbouring block, so every block has its surroundings.
+    """
+    k = F.floor(F.col(order) / block)
+    near = F.array_distinct(F.array(F.floor((F.col(order) - after) / block), k, F.floor((F.col(order) + before) / block)))
+    d = df.withColumn("__mm_own", k).withColumn("__mm_k", F.explode(near))
+    w = Window.partitionBy(group, "__mm_k").orderBy(order).rowsBetween(-before, after)
+    mean = F.when(F.count(value).over(w) >= least, F.avg(value).over(w))
+    return d.withColumn(out, mean).where(F.col("__mm_own") == F.col("__mm_k")).drop("__mm_own", "__mm_k")

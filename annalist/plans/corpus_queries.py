@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from annalist.functions.text import snippet, tokens, words
@@ -179,6 +178,5 @@ def corpus_scan_aggregates(spark, sf_dir):
     f"""WITH {_UNITS} SELECT filename, segment, unit, CAST(start AS BIGINT) AS start FROM (SELECT *, lag(unit) OVER (PARTITION BY filename ORDER BY segment) AS before FROM unit) WHERE before IS DISTINCT FROM unit""",
 )
 def unit_run_boundaries(spark, sf_dir):
-    u = order.running_total(chunking.segment_units(table(spark, sf_dir, "corpus_segments")), ["filename"], "segment", F.col("n").cast("long"), "start")
-    before = F.lag("unit").over(Window.partitionBy("filename").orderBy("segment"))
-    return u.withColumn("before", before).where("NOT (before <=> unit)").select("filename", "segment", "unit", "start")
+    u = order.running_total(chunking.unit_starts(table(spark, sf_dir, "corpus_segments")), ["filename"], "segment", F.col("n").cast("long"), "start")
+    return u.where("new").select("filename", "segment", "unit", "start")

@@ -52,11 +52,9 @@ def label_permutation_p(spark, sf_dir):
 @R.add("unit_change_density", f"WITH {_UNITS}, b AS (SELECT filename, n, CASE WHEN lag(unit) OVER (PARTITION BY filename ORDER BY segment) IS DISTINCT FROM unit THEN 1 ELSE 0 END AS new FROM unit) SELECT filename, CAST(sum(n) AS BIGINT) AS words, CAST(sum(new) AS BIGINT) AS units, round(10000 * sum(new) / sum(n), 6) AS per_10k FROM b GROUP BY filename")
 def unit_change_density(spark, sf_dir):
     """Units per ten thousand words of every file."""
-    from annalist.operators.chunking import segment_units
+    from annalist.operators.chunking import unit_starts
 
-    u = segment_units(table(spark, sf_dir, "corpus_segments"))
-    new = (~F.lag("unit").over(Window.partitionBy("filename").orderBy("segment")).eqNullSafe(F.col("unit"))).cast("long")
-    g = u.withColumn("new", new).groupBy("filename").agg(F.sum("n").alias("words"), F.sum("new").alias("units"))
+    g = unit_starts(table(spark, sf_dir, "corpus_segments")).groupBy("filename").agg(F.sum("n").alias("words"), F.count_if("new").alias("units"))
     return g.withColumn("per_10k", F.round(10000 * F.col("units") / F.col("words"), 6))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from annalist.functions import vectors
 from annalist.operators import profile, sequence
-from annalist.operators.order import global_index, running_total
+from annalist.operators.order import global_index, moving_mean, running_total
 from annalist.plans.cluster_queries import VALID
 from annalist.plans.corpus_queries import FRAME_SQL, frame
 from annalist.plans.registry import Registry, table
@@ -225,10 +225,10 @@ def kernel_smoothing(spark, sf_dir):
 
 @R.add("rolling_mean_centered", "SELECT text_id, row_id, CASE WHEN len(l) >= 10 THEN round(list_avg(l), 6) END AS smooth FROM (SELECT text_id, row_id, list_filter(list(surprisal_bits) OVER w, lambda x: x IS NOT NULL AND NOT isnan(x)) AS l FROM word_measurements WINDOW w AS (PARTITION BY text_id ORDER BY word_position, row_id ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING))")
 def rolling_mean_centered(spark, sf_dir):
-    """Centred mean of 20 values within each text, null below 10 values. A text is short, as works are."""
+    """Centred mean of 20 values within each text, null below 10 values."""
     t = table(spark, sf_dir, "word_measurements").select("text_id", "row_id", "word_position", F.nanvl("surprisal_bits", F.lit(None).cast("double")).alias("s"))
-    w = Window.partitionBy("text_id").orderBy("word_position", "row_id").rowsBetween(-10, 9)
-    return t.select("text_id", "row_id", F.when(F.count("s").over(w) >= 10, F.round(F.avg("s").over(w), 6)).alias("smooth"))
+    m = moving_mean(global_index(t, "text_id", "word_position", "row_id"), "text_id", "idx", "s", "smooth", 10, 9, 10)
+    return m.select("text_id", "row_id", F.round("smooth", 6).alias("smooth"))
 
 
 @R.add("genre_profile_signal", f"WITH {FRAME_SQL}, v AS (SELECT row_id, string_split(filename, '-')[1] AS label, list_transform(vec, lambda x: x::DOUBLE) AS w FROM frame WHERE filename IS NOT NULL AND {VALID}), u AS (SELECT row_id, label, list_transform(w, lambda x: x / (sqrt(list_dot_product(w, w)) + 1e-9)) AS w FROM v), e AS (SELECT label, unnest(range(1, 65)) AS d, unnest(w) AS x FROM u), m AS (SELECT label, list(x ORDER BY d) AS c FROM (SELECT label, d, avg(x) AS x FROM e GROUP BY ALL) GROUP BY label), c AS (SELECT label, list_transform(c, lambda x: x / (sqrt(list_dot_product(c, c)) + 1e-9)) AS c FROM m) SELECT row_id, c.label AS genre, round(list_dot_product(w, c.c), 5) + 0 AS signal FROM u, c")

@@ -338,3 +338,18 @@ def test_tree_of_titles():
 
     tree = [{"heCategory": "א", "contents": [{"title": "T", "heTitle": "ת"}, {"heCategory": "ב", "contents": [{"title": " U ", "heTitle": "ו", "nodes": [{"title": "V", "heTitle": "ז"}]}]}]}, {"title": "T", "heTitle": "later"}, "x"]
     assert flatten_titles(tree) == [("T", "ת", ["א"]), ("U", "ו", ["א", "ב"]), ("V", "ז", ["א", "ב"])]
+
+
+def test_blocks_change_nothing(spark):
+    """Carried values and moving means are the same however small the blocks."""
+    rng = random.Random(3)
+    rows = [("ab"[i > 70], i, rng.choice([None, rng.random()])) for i in range(120)]
+    df = spark.createDataFrame(rows, "g string, idx bigint, v double").repartition(4)
+    for block in (7, 1000):
+        for strict in (False, True):
+            for r in order.carry_forward(df, ["g"], "idx", F.col("v"), "c", strict, block).collect():
+                seen = [v for g, i, v in rows if g == r.g and v is not None and (i < r.idx if strict else i <= r.idx)]
+                assert r.c == (seen[-1] if seen else None)
+        for r in order.moving_mean(df, "g", "idx", "v", "m", 10, 9, 5, max(block, 20)).collect():
+            near = [v for g, i, v in rows if g == r.g and r.idx - 10 <= i <= r.idx + 9 and v is not None]
+            assert (r.m is None) == (len(near) < 5) and (r.m is None or math.isclose(r.m, sum(near) / len(near)))
