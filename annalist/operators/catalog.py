@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annalist.session import materialize
+
 FLAG = "1"
 
 
@@ -81,32 +84,81 @@ def title_cascade(names: DataFrame, titles: DataFrame, name: str, title: str, le
     return cut.join(t, "k").withColumn("r", F.row_number().over(w)).where("r = 1").select(name, title, "dropped")
 
 
-def fuzzy_names(left: DataFrame, right: DataFrame, name: str, block: Column | None = None) -> DataFrame:
-    """(name, match, score, status): exact by normalised name, else the best difflib ratio among names that share
-    three letters in a row with it; exact, likely from 0.85, check from 0.6, else none.
+def best_ratios(left: list[str], right: list[str]) -> list[tuple[float, int]]:
+    """(ratio, index in ``right``) of the best difflib ratio of every left name over all right ones; of equal ratios the
+    last index, and (0, -1) where ``right`` is empty.
 
-    Sharing a triple of letters takes the place of comparing all with all: names without one have a ratio near 0.
-    Triples are weighted by rarity, and each name is compared through its eight rarest.
+    Matching blocks of difflib are a common subsequence, so 2 * longest common subsequence / (la + lb) is never below
+    the ratio. It is computed for all right names at once (one bit per letter of the left name); difflib compares names
+    from the greatest bound on, until none is left that could be as good. Names above 64 letters are bounded by length.
+    """
+    size = np.array([len(y) for y in right])
+    code = {c: i + 1 for i, c in enumerate(sorted(set("".join(right))))}
+    letters = np.zeros((int(size.max(initial=0)), len(right)), np.int32)  # 0 behind the end
+    for j, y in enumerate(right):
+        letters[: len(y), j] = [code[c] for c in y]
+    matchers: dict[int, difflib.SequenceMatcher] = {}
+    out = []
+    for x in left:
+        if len(x) <= 64:
+            mask = np.zeros(len(code) + 1, np.uint64)
+            for i, c in enumerate(x):
+                if c in code:
+                    mask[code[c]] |= np.uint64(1 << i)
+            v = np.full(len(right), ~np.uint64(0))
+            for row in letters:
+                u = v & mask[row]
+                v = (v + u) | (v - u)
+            common = np.bitwise_count(~v & np.uint64((1 << len(x)) - 1)).astype(np.int64)
+        else:
+            common = np.minimum(size, len(x))
+        bound = 2.0 * common / np.maximum(size + len(x), 1)
+        best = (0.0, -1)
+        for j in np.argsort(-bound, kind="stable"):
+            if bound[j] < best[0]:
+                break
+            j = int(j)
+            if j not in matchers:
+                matchers[j] = difflib.SequenceMatcher(None, "", right[j])
+            matchers[j].set_seq1(x)
+            if bound[j] > 0:
+                best = max(best, (matchers[j].ratio(), j))
+        out.append(best)
+    return out
+
+
+def fuzzy_names(left: DataFrame, right: DataFrame, name: str, left_block: int = 256, right_block: int = 4096) -> DataFrame:
+    """(name, match, score, status): exact by normalised name, else the best difflib ratio over all names; exact,
+    likely from 0.85, check from 0.6, else none (with the best score, but no match). Of equal ratios the last name.
+
+    Every name without an exact match meets every other one: names go into blocks of about ``left_block`` and
+    ``right_block``, and each pair of blocks is one group (``best_ratios``), so no task holds more than two blocks.
     """
     a = left.select(F.col(name).alias("a")).where("a IS NOT NULL").distinct().withColumn("na", normal_name("a"))
     b = right.select(F.col(name).alias("b")).where("b IS NOT NULL").distinct().withColumn("nb", normal_name("b"))
     exact = a.join(b, F.col("na") == F.col("nb")).groupBy("a").agg(F.min("b").alias("match")).select("a", "match", F.lit(1.0).alias("score"))
-    rest = a.join(exact, "a", "left_anti")
-
-    def grams(c: str) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substr(F.col(c), i, F.lit(3))))
-
-    gb = b.select("b", "nb", F.explode(grams("nb")).alias("g"))
-    df = gb.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    ga = rest.select("a", "na", F.explode(grams("na")).alias("g")).join(df, "g")
-    ga = ga.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("df", "g"))).where("r <= 8")
-    pairs = ga.select("a", "na", "g").join(gb, "g").select("a", "na", "b", "nb").distinct()
-
-    @F.pandas_udf("double")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)])
-
-    best = pairs.withColumn("score", ratio("na", "nb")).groupBy("a").agg(F.max(F.struct("score", "b")).alias("m"))
+    rest = materialize(a.join(exact, "a", "left_anti"), "unmatched")
+    names = materialize(b.groupBy("nb").agg(F.max("b").alias("b")), "names")
+    rows, cols = max(-(-rest.count() // left_block), 1), max(-(-names.count() // right_block), 1)
+    tasks = min(rows * cols, 4 * rest.sparkSession.sparkContext.defaultParallelism)  # by number, else a few KB a block become one task
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def block(c: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+
+    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame({"a": [], "score": [], "b": []})
+        y = y.sort_values("b")
+        found, there = best_ratios(list(x["na"]), list(y["nb"])), list(y["b"])
+        return pd.DataFrame({"a": list(x["a"]), "score": [s for s, _ in found], "b": [there[j] if j >= 0 else None for _, j in found]})
+
+    x = rest.withColumn("i", block("na", rows)).withColumn("j", every(cols)).repartition(tasks, "i", "j").groupBy("i", "j")
+    y = names.withColumn("j", block("nb", cols)).withColumn("i", every(rows)).repartition(tasks, "i", "j").groupBy("i", "j")
+    pairs = x.cogroup(y).applyInPandas(compare, "a string, score double, b string")
+    best = pairs.groupBy("a").agg(F.max(F.struct("score", "b")).alias("m"))
     near = rest.join(best, "a", "left").select("a", F.when(F.col("m.score") >= 0.6, F.col("m.b")).alias("match"), F.coalesce("m.score", F.lit(0.0)).alias("score"))
     status = F.when(F.col("score") == 1.0, "exact").when(F.col("score") >= 0.85, "likely").when(F.col("score") >= 0.6, "check").otherwise("none")
     return exact.unionByName(near).select(F.col("a").alias(name), "match", F.round("score", 3).alias("score"), status.alias("status"))

@@ -278,6 +278,19 @@ def test_fuzzy_names(spark):
     assert got == {"Midrash Rabbah": ("midrash rabbah", "exact"), "midrash  tehilim": ("Midrash Tehillim", "likely"), "Zzz": (None, "none")}
 
 
+def test_fuzzy_names_equal_full_comparison(spark):
+    import difflib
+
+    rng = random.Random(3)
+    parts = ["agga", "dat", "pho", "resokh", "com", "mentary", "sha", "hug", "et", "vol", "mid", "rash", "zuta", "rabba"]
+    name = lambda: " ".join("".join(rng.choices(parts, k=rng.randint(1, 3))) for _ in range(rng.randint(1, 4)))
+    a, b = sorted({name() for _ in range(80)} | {"x" * 70, "qqq", "a"}), sorted({name() for _ in range(300)} | {"x" * 66 + "y"})
+    want = {x: max((difflib.SequenceMatcher(None, x, y).ratio(), y) for y in b) for x in a}
+    frames = [spark.createDataFrame([(x,) for x in n], "name string") for n in (a, b)]
+    got = {r.name: r for r in catalog.fuzzy_names(*frames, "name", left_block=32, right_block=64).collect()}
+    assert {x: (round(s, 3), y if s >= 0.6 else None) for x, (s, y) in want.items()} == {x: (r.score, r.match) for x, r in got.items()}
+
+
 def test_models(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(v) for v in rng.standard_normal(4) * 0.1 + 3 * (i % 3)]) for i in range(90)]
