@@ -11,6 +11,7 @@ from annalist.operators.order import global_index, moving_mean, running_total
 from annalist.plans.cluster_queries import VALID
 from annalist.plans.corpus_queries import FRAME_SQL, frame
 from annalist.plans.registry import Registry, table
+from annalist.session import materialize
 
 R = Registry()
 B = 50
@@ -200,6 +201,22 @@ def block_permutation_p(spark, sf_dir):
     return best.join(F.broadcast(obs)).groupBy("observed").agg(((1 + F.count_if((F.col("rep") > 0) & (F.col("stat") >= F.col("observed")))) / 20).alias("p")).select(F.round("observed", 6).alias("observed"), "p")
 
 
+@R.add(
+    "block_permutation_whole",
+    """WITH x AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS t, embedding FROM embeddings), b AS (SELECT t // 25 AS blk, t, unnest(range(64)) AS d, unnest(embedding)::DOUBLE AS x FROM x),
+      o AS (SELECT rep, t, blk, row_number() OVER (PARTITION BY rep ORDER BY CASE WHEN rep = 0 THEN lpad(CAST(blk AS VARCHAR), 9, '0') ELSE md5(rep || '-' || blk) END, t) - 1 AS u FROM (SELECT DISTINCT t, blk FROM b), (SELECT unnest(range(200)) AS rep)),
+      r AS (SELECT rep, d, u, count(*) OVER (PARTITION BY rep, d) AS n, coalesce(sum(x) OVER (PARTITION BY rep, d ORDER BY u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(x) OVER (PARTITION BY rep, d) AS s FROM o JOIN b USING (t)),
+      q AS (SELECT rep, u, round(sum(u * (n - u) / n * (before / u - (s - before) / (n - u)) ** 2), 9) AS stat FROM r WHERE u >= 20 AND u <= n - 20 GROUP BY rep, u), st AS (SELECT rep, max(stat) AS stat FROM q GROUP BY rep)
+      SELECT round(a.stat, 6) AS observed, (1 + count(*) FILTER (z.rep > 0 AND z.stat >= a.stat)) / 200 AS p FROM st z, (SELECT stat FROM st WHERE rep = 0) a GROUP BY a.stat""",
+)
+def block_permutation_whole(spark, sf_dir):
+    """The test of block_permutation_p on whole vectors and with 199 permutations, so that p can fall below 0.01."""
+    x = global_index(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("x")), "vec_id", out="t")
+    st = materialize(sequence.permuted_splits(x, 25, 199, 20), "permuted")
+    obs = st.where("rep = 0").select(F.col("stat").alias("observed"))
+    return st.join(F.broadcast(obs)).groupBy("observed").agg(((1 + F.count_if((F.col("rep") > 0) & (F.col("stat") >= F.col("observed")))) / 200).alias("p")).select(F.round("observed", 6).alias("observed"), "p")
+
+
 # Fixed value: the smoothing kernel.
 _KERNEL = [0.2, 0.5, 0.6, 0.7, 0.8, 1.0, 0.8, 0.7, 0.6, 0.5, 0.2]
 _KSQL = " + ".join(f"{k} * coalesce({'lag' if i < 5 else 'lead'}(x, {abs(i - 5)}) OVER w, 0)" for i, k in enumerate(_KERNEL))

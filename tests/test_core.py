@@ -193,6 +193,21 @@ def test_planted_split_is_found():
     assert sequence.binary_segmentation(x, 3, 10)[0][1] in range(78, 83)
 
 
+def test_permuted_splits_use_whole_vectors(spark):
+    import hashlib
+
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((203, 4))
+    x[100:, 3] += 3  # a split in the last dimension only
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "t bigint, x array<double>")
+    got = {r.rep: r.stat for r in sequence.permuted_splits(df, 10, 199, 20).collect()}
+    parts = [x[i : i + 10] for i in range(0, len(x), 10)]
+    for rep in range(200):
+        at = sorted(range(len(parts)), key=lambda b: f"{b:09}" if rep == 0 else hashlib.md5(f"{rep}-{b}".encode()).hexdigest())
+        assert got[rep] == pytest.approx(sequence.best_split(np.concatenate([parts[b] for b in at]), 20)[1], abs=1e-8)
+    assert (1 + sum(got[r] >= got[0] for r in range(1, 200))) / 200 < 0.01
+
+
 def test_jensen_shannon(spark):
     seq = spark.createDataFrame([(i, v) for i, v in enumerate([0, 0, 0, 0, 1, 1, 1, 1, 0, 0, 1, 1, 0])], "idx bigint, label int")
     got = {r.x: r for r in sequence.adjacent(sequence.blocks(seq, "idx", "label", 4), 4).collect()}
