@@ -240,6 +240,15 @@ def kernel_smoothing(spark, sf_dir):
     return kernel_smooth(long, ["label", "d"], "t", "x", _KERNEL).select("label", "t", "d", (F.round("smooth", 6) + 0.0).alias("smooth"))
 
 
+@R.add("kernel_smoothing_whole", f"WITH l AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS t, embedding FROM embeddings), l2 AS (SELECT label, t, unnest(range(1, len(embedding) + 1)) AS d, unnest(embedding)::DOUBLE AS x FROM l) SELECT label, t, d, round(({_KSQL}) / 6.6, 6) + 0 AS smooth FROM l2 WINDOW w AS (PARTITION BY label, d ORDER BY t)")
+def kernel_smoothing_whole(spark, sf_dir):
+    """The smoothing of kernel_smoothing over every dimension of the vectors."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    g = running_total(global_index(e, "vec_id"), ["label"], "idx", F.lit(1), "before").withColumn("t", F.col("before") + 1)
+    long = g.select("label", "t", F.posexplode("embedding").alias("d", "x")).select("label", "t", (F.col("d") + 1).alias("d"), F.col("x").cast("double").alias("x"))
+    return kernel_smooth(long, ["label", "d"], "t", "x", _KERNEL).select("label", "t", "d", (F.round("smooth", 6) + 0.0).alias("smooth"))
+
+
 @R.add("rolling_mean_centered", "SELECT text_id, row_id, CASE WHEN len(l) >= 10 THEN round(list_avg(l), 6) END AS smooth FROM (SELECT text_id, row_id, list_filter(list(surprisal_bits) OVER w, lambda x: x IS NOT NULL AND NOT isnan(x)) AS l FROM word_measurements WINDOW w AS (PARTITION BY text_id ORDER BY word_position, row_id ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING))")
 def rolling_mean_centered(spark, sf_dir):
     """Centred mean of 20 values within each text, null below 10 values."""

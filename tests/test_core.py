@@ -208,6 +208,18 @@ def test_permuted_splits_use_whole_vectors(spark):
     assert (1 + sum(got[r] >= got[0] for r in range(1, 200))) / 200 < 0.01
 
 
+def test_smoothing_of_every_dimension(spark, tmp_path):
+    from annalist.plans.sequence_queries import _KERNEL, kernel_smoothing_whole
+
+    x = np.random.default_rng(2).standard_normal((30, 5)).astype(np.float32)
+    rows = [(i, f"l{i % 2}", [float(v) for v in r]) for i, r in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id bigint, label string, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.label, r.t, r.d): r.smooth for r in kernel_smoothing_whole(spark, str(tmp_path)).collect()}
+    want = {(f"l{k}", t + 1, d + 1): v for k in (0, 1) for d in range(5) for t, v in enumerate(np.convolve(x[k::2, d].astype(float), _KERNEL, "same") / 6.6)}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
 def test_jensen_shannon(spark):
     seq = spark.createDataFrame([(i, v) for i, v in enumerate([0, 0, 0, 0, 1, 1, 1, 1, 0, 0, 1, 1, 0])], "idx bigint, label int")
     got = {r.x: r for r in sequence.adjacent(sequence.blocks(seq, "idx", "label", 4), 4).collect()}
