@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from annalist.functions import vectors
 from annalist.functions.text import clean_word, ngrams, words
-from annalist.operators import lmscore, profile, sessions, stats
+from annalist.operators import lmscore, models, profile, sessions, stats
 from annalist.plans.corpus_queries import FRAME_SQL, frame, split_sql
 from annalist.plans.registry import Registry, table
 
@@ -243,6 +244,13 @@ def elbow_table(spark, sf_dir):
     return stats.elbow(c).select("k", F.round("inertia", 6).alias("inertia"), "bend", F.round("gain", 6).alias("gain"), "elbow", "band_low", "band_high", "flat")
 
 
+@R.add("corpus_elbow")
+def corpus_elbow(spark, sf_dir):
+    """The elbow of the corpus' own sweep: inertias of k = 2..20 over the chunks' vectors (at most 20,000, as there)."""
+    v = table(spark, sf_dir, "rabani_unsmoothed_table").where(vectors.valid("vec", 64)).select("row_id", "vec")
+    return stats.elbow(models.sweep(v, "vec", "row_id", list(range(2, 21))).select("k", "inertia"))
+
+
 @R.add("stratified_sample", "SELECT doc_id, source FROM documents WHERE source IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5('42-' || doc_id), doc_id) <= 4")
 def stratified_sample(spark, sf_dir):
     """The same number of rows of every stratum, by a hash of the id; rows are cut within salted parts first."""

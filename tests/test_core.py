@@ -332,6 +332,22 @@ def test_models(spark):
     assert models.silhouette(np.ones((3, 2)), np.zeros(3)) is None
 
 
+def test_corpus_elbow_reads_the_corpus(spark, tmp_path):
+    from annalist.plans.stats_queries import corpus_elbow
+
+    rng = np.random.default_rng(4)
+    x = np.repeat(10 * np.eye(4, 64), 25, axis=0) + rng.standard_normal((100, 64)) / 10
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    spark.createDataFrame(rows, "row_id bigint, vec array<float>").coalesce(1).write.parquet(f"{tmp_path}/rabani_unsmoothed_table.parquet")
+    got = sorted(corpus_elbow(spark, str(tmp_path)).collect(), key=lambda r: r.k)
+    assert [r.k for r in got] == list(range(2, 21))
+    assert 0 < got[-1].inertia < got[0].inertia < ((x - x.mean(axis=0)) ** 2).sum()
+    y = np.array([r.inertia for r in got])
+    bend = np.abs((y - y[-1]) / (y[0] - y[-1]) - (1 - np.arange(19) / 18)) / math.sqrt(2)
+    assert [r.elbow for r in got] == [i == int(bend.argmax()) for i in range(19)]
+    assert [r.bend for r in got] == pytest.approx(list(bend), abs=1e-8)
+
+
 def test_layout():
     rng = np.random.default_rng(2)
     p = rng.standard_normal((8, 2))
