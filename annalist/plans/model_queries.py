@@ -43,7 +43,10 @@ def hashed_embedding(spark, sf_dir):
 
 @R.add("word_vectors")
 def word_vectors(spark, sf_dir):
-    return models.train_word_vectors(table(spark, sf_dir, "rabani_unsmoothed_table"), "chunk", dim=32, epochs=1).getVectors().select("word")
+    from pyspark.ml.functions import vector_to_array
+
+    v = models.train_word_vectors(table(spark, sf_dir, "rabani_unsmoothed_table"), "chunk").getVectors()
+    return v.select("word", vector_to_array("vector").alias("vec"))
 
 
 def _map(spark, sf_dir):

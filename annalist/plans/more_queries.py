@@ -34,19 +34,29 @@ def segment_leans(spark, sf_dir):
       SELECT a.gap AS observed, (1 + count(*) FILTER (g.rep > 0 AND g.gap >= a.gap)) / 200 AS p FROM g, (SELECT gap FROM g WHERE rep = 0) a GROUP BY a.gap""",
 )
 def label_permutation_p(spark, sf_dir):
+    return _label_permutations(spark, sf_dir, 199)
+
+
+@R.add("label_permutation_whole")
+def label_permutation_whole(spark, sf_dir):
+    """The test of label_permutation_p with 5,000 permutations."""
+    return _label_permutations(spark, sf_dir, 5000)
+
+
+def _label_permutations(spark, sf_dir, rounds):
     """Gap between the medians of two groups of texts against permuted labels; one row per text and replicate."""
     from annalist.operators.order import global_index
 
     v = table(spark, sf_dir, "word_measurements").groupBy("text_id").agg(F.median(F.nanvl("surprisal_bits", F.lit(None).cast("double"))).alias("m"))
     v = global_index(v, "text_id", out="k")
     half = v.agg(F.floor(F.count(F.lit(1)) / 2).alias("half"))
-    r = v.join(F.broadcast(spark.range(200).withColumnRenamed("id", "rep")))
+    r = v.join(F.broadcast(spark.range(rounds + 1).withColumnRenamed("id", "rep")))
     key = F.when(F.col("rep") == 0, F.lpad(F.col("k").cast("string"), 9, "0")).otherwise(F.md5(F.concat_ws("-", F.col("rep").cast("string"), F.col("k").cast("string"))))
     r = r.withColumn("key", key).withColumn("u", F.row_number().over(Window.partitionBy("rep").orderBy("key")) - 1).join(F.broadcast(half))
     first = F.col("u") < F.col("half")
     g = r.groupBy("rep").agg(F.round(F.median(F.when(first, F.col("m"))) - F.median(F.when(~first, F.col("m"))), 9).alias("gap"))
     obs = g.where("rep = 0").select(F.col("gap").alias("observed"))
-    return g.join(F.broadcast(obs)).groupBy("observed").agg(((1 + F.count_if((F.col("rep") > 0) & (F.col("gap") >= F.col("observed")))) / 200).alias("p"))
+    return g.join(F.broadcast(obs)).groupBy("observed").agg(((1 + F.count_if((F.col("rep") > 0) & (F.col("gap") >= F.col("observed")))) / (rounds + 1)).alias("p"))
 
 
 @R.add("unit_change_density", f"WITH {_UNITS}, b AS (SELECT filename, n, CASE WHEN lag(unit) OVER (PARTITION BY filename ORDER BY segment) IS DISTINCT FROM unit THEN 1 ELSE 0 END AS new FROM unit) SELECT filename, CAST(sum(n) AS BIGINT) AS words, CAST(sum(new) AS BIGINT) AS units, round(10000 * sum(new) / sum(n), 6) AS per_10k FROM b GROUP BY filename")
@@ -77,6 +87,10 @@ def duration_labels(spark, sf_dir):
     return s.withColumn("label", alignment.duration_label("s"))
 
 
+# Fixed value: the fits that a curve averages.
+_SEEDS = 5
+
+
 @R.add("lean_curve")
 def lean_curve(spark, sf_dir):
     """Lean of every chunk of the longest file towards each category: clusters fitted on the same number of chunks of
@@ -85,7 +99,7 @@ def lean_curve(spark, sf_dir):
     target = t.groupBy("filename").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "filename").head().filename
     v = t.withColumn("genre", labels.grouping_label("filename", 1))
     curve = None
-    for seed in range(3):
+    for seed in range(_SEEDS):
         sample = models.balanced_sample(v.where(F.col("filename") != target), "genre", "row_id", 150, seed)
         fitted, _ = models.kmeans(sample.unionByName(v.where(F.col("filename") == target)), "vec", 12, 42 + seed, fit_on=sample)
         per = fitted.where(F.col("filename") != target).groupBy("scluster", "genre").agg(F.count(F.lit(1)).alias("n"))
@@ -95,6 +109,6 @@ def lean_curve(spark, sf_dir):
         one = fitted.where(F.col("filename") == target).select("row_id", "chunk_number", "scluster").join(lift, "scluster")
         one = one.select("row_id", "chunk_number", "genre", "lean")
         curve = one if curve is None else curve.unionByName(one)
-    c = curve.groupBy("row_id", "chunk_number", "genre").agg((F.sum("lean") / 3).alias("lean"))
+    c = curve.groupBy("row_id", "chunk_number", "genre").agg((F.sum("lean") / _SEEDS).alias("lean"))
     w = Window.partitionBy("genre").orderBy("chunk_number", "row_id").rowsBetween(-10, 9)  # one work's chunks
     return c.select("row_id", "chunk_number", "genre", F.when(F.count("lean").over(w) >= 10, F.avg("lean").over(w)).alias("lean"))

@@ -289,4 +289,4 @@ def recursive_segmentation(spark, sf_dir):
     """Significant change points of every file's vectors; one group per work."""
     t = table(spark, sf_dir, "rabani_unsmoothed_table").where(F.col("filename").isNotNull() & vectors.valid("vec", 64))
     long = t.select("filename", F.col("chunk_number").alias("t"), F.col("vec").alias("x"))
-    return sequence.per_sequence(long, "filename", lambda x: sequence.significant_splits(x, 10, 5, 99, 0.02), "filename string, t int, p double, depth int")
+    return sequence.per_sequence(long, "filename", lambda x: sequence.significant_splits(x, 10, 5), "filename string, t int, p double, depth int")

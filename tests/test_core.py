@@ -348,6 +348,21 @@ def test_corpus_elbow_reads_the_corpus(spark, tmp_path):
     assert [r.bend for r in got] == pytest.approx(list(bend), abs=1e-8)
 
 
+def test_queries_take_all_permutations_seeds_and_epochs(spark, tmp_path):
+    from annalist.plans import model_queries, more_queries, sequence_queries
+
+    x = np.random.default_rng(5).standard_normal((60, 64))
+    x[30:] += 2
+    rows = [(i, "a", i, [float(v) for v in r], "alpha beta gamma") for i, r in enumerate(x)]
+    spark.createDataFrame(rows, "row_id bigint, filename string, chunk_number int, vec array<double>, chunk string").write.parquet(f"{tmp_path}/rabani_unsmoothed_table.parquet")
+    found = sequence_queries.recursive_segmentation(spark, str(tmp_path)).collect()
+    assert any(r.t == 30 for r in found) and all(r.p == 0.005 for r in found)
+    assert {(r.word, len(r.vec)) for r in model_queries.word_vectors(spark, str(tmp_path)).collect()} == {("alpha", 100), ("beta", 100), ("gamma", 100)}
+    spark.createDataFrame([(i, 1.0 * (i < 15) + i / 1000) for i in range(30)], "text_id int, surprisal_bits double").write.parquet(f"{tmp_path}/word_measurements.parquet")
+    assert more_queries.label_permutation_whole(spark, str(tmp_path)).first().p == pytest.approx(1 / 5001)
+    assert more_queries._SEEDS == 5
+
+
 def test_layout():
     rng = np.random.default_rng(2)
     p = rng.standard_normal((8, 2))
