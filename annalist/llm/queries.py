@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from annalist.llm import cluster, entities, mix, moderation, split, terms, tokenize, unify
 from annalist.plans.registry import Registry, table
+from annalist.session import materialize
 
 R = Registry()
 
@@ -133,6 +134,13 @@ def p7_clusters(spark, sf_dir):
     return cluster.describe_clusters(table(spark, sf_dir, "rabani_unsmoothed_table"), "row_id", "vec", "scluster")
 
 
+@R.add("p7_threshold")
+def p7_threshold(spark, sf_dir):
+    """What the threshold is read off: mass of merges within and across labels by similarity, and the threshold."""
+    profile = materialize(cluster.merge_profile(table(spark, sf_dir, "rabani_unsmoothed_table"), "vec", "scluster"), "profile")
+    return profile.withColumn("threshold", F.lit(cluster.derived_threshold(profile)))
+
+
 @R.add("p8_ids")
 def p8_ids(spark, sf_dir):
     return tokenize.encode(table(spark, sf_dir, "documents"), "doc_id", "text")

@@ -57,12 +57,58 @@ def test_groups_and_labels(spark):
 
 def test_passes_with_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(cluster, "BLOCK", 64)
-    monkeypatch.setattr(cluster, "TOP", 16)
     df, rows = data(spark)
     got = {(r.row, r.prevailing) for r in cluster.relabelled(df, "row_id", "vec", "scluster").collect()}
     assert got == {(i, k) for i, _, lab, k in rows if lab != k}
 
 
+def mixed(spark, n=2400, parts=6):
+    """Groups as mixed as in practice: kindred centres (cosine 0.6), rows with cosine 0.8 to one another, stray rows."""
+    rng = np.random.default_rng(4)
+    base = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    centres = [base[0], base[1], base[2]] + [0.6 * base[i] + 0.8 * base[3 + i] for i in range(3)] + [base[6 + i] for i in range(4)]
+    rows, code = [], []
+    for i in range(n):
+        k = 0 if i % 3 == 0 else i % len(centres)
+        v = centres[k] + rng.standard_normal(64) * (0.5 / 8) if i % 50 else rng.standard_normal(64)
+        v = v / np.linalg.norm(v)
+        rows.append((i, [float(a) for a in v], (k if i % 41 else (k + 1) % 10) if i % 37 else None))
+        code.append(v)
+    return spark.createDataFrame(rows, "row_id bigint, vec array<float>, scluster int").repartition(parts), np.array(code)
+
+
+def pair_agreement(a, b):
+    """F1 of the pairs of rows in one group."""
+    from collections import Counter
+
+    two = lambda c: sum(v * (v - 1) / 2 for v in c.values())
+    return 2 * two(Counter(zip(a, b, strict=True))) / (two(Counter(a)) + two(Counter(b)))
+
+
+def test_agreement_with_exact_linkage(spark, monkeypatch):
+    """Sparse blocks, several passes and more groups than a block holds, against average linkage of all rows at once."""
+    df, x = mixed(spark)
+    profile = cluster.merge_profile(df, "vec", "scluster")
+    t = cluster.derived_threshold(profile)
+    assert 0.6 < t < 0.8
+    exact = cluster.average_linkage(x, np.ones(len(x)), t)[2]
+    for block in (1024, 128, 32):
+        monkeypatch.setattr(cluster, "BLOCK", block)
+        got = {r.row: r.group for r in cluster.cluster_rows(df, "row_id", "vec", "scluster", threshold=t)[0].collect()}
+        assert len(got) == len(x)
+        assert pair_agreement(exact.tolist(), [got[i] for i in range(len(x))]) >= 0.9, block
+
+
+def test_strays_are_left(spark, monkeypatch):
+    """Rows like no other form groups of their own, counted like all others; the passes end although nothing merges."""
+    monkeypatch.setattr(cluster, "BLOCK", 16)
+    rows = [(i, [float(j == i) for j in range(64)], 1 if i % 2 else None) for i in range(64)]
+    df = spark.createDataFrame(rows, "row_id bigint, vec array<float>, scluster int")
+    d = cluster.describe_clusters(df, "row_id", "vec", "scluster").collect()
+    assert len(d) == 64 and all(r.n == 1 and r.cohesion is None for r in d)
+    assert cluster.derived_threshold(cluster.merge_profile(df, "vec", "scluster")) == cluster.THRESHOLD
+
+
 def test_nothing(spark):
     df, _ = data(spark, 6)
     assert cluster.relabelled(df.limit(0), "row_id", "vec", "scluster").collect() == []
