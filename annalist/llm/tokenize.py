@@ -1,7 +1,9 @@
 """Problem 8: token ids of a whole corpus under a public tokenizer, by a table of distinct words.
 
-Text is split into words by the tokenizer's own pattern in Spark, every distinct word is encoded once, and the ids
-are joined back and put in the order of the words' places. Decoding joins ids with a table of their pieces.
+Text is split into words by the tokenizer's own pattern in Spark. Documents are gathered in parcels, in which words
+are numbers; every distinct word of the corpus is encoded once, and the ids are joined back to the parcels and put in
+the order of the words' places. Only numbers of words and each parcel's own words are shuffled, not every word of every
+document. Decoding joins ids with a table of their pieces.
 
 Defined ids: a null text and an empty text both give the empty list of ids. Texts of any length are encoded whole.
 Strings of special tokens are ordinary text.
@@ -14,8 +16,10 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from annalist.session import materialize
 
@@ -36,99 +40,130 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def split_words(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, word, places): the distinct words of every row with all their places, counted from 0.
+#: A parcel of documents shares one list of its words; it closes at so many documents or words.
+PARCEL_DOCS, PARCEL_WORDS = 2_000, 1_000_000
 
-    Places of one word in one row travel as one array, so a frequent word makes one row per document.
+
+def _width(words: int):
+    """Type of the numbers of a parcel's words."""
+    return np.uint16 if words <= 1 << 16 else np.uint32
+
+
+def split_words(df: DataFrame, key: str, text: str, keep: list[str] | None = None) -> DataFrame:
+    """Parcels of documents, as two kinds of rows of one table.
+
+    Documents: (parcel, key, k0..., codes), ``codes`` the numbers of the document's words in their order, null and empty
+    texts with none. Words: (parcel, code, word), one row for each distinct word of a parcel, so that a word that stands
+    in every document makes one row a parcel.
     """
-    w = df.select(F.col(f"`{key}`").alias("key"), F.regexp_extract_all(F.col(f"`{text}`"), F.lit(WORD_PATTERN), F.lit(0)).alias("w"))
+    keep = keep or []
+    names = [f"k{i}" for i in range(len(keep))]
+    w = df.select(F.col(f"`{key}`").alias("key"), *[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.regexp_extract_all(F.col(f"`{text}`"), F.lit(WORD_PATTERN), F.lit(0)).alias("w"))
+    kinds = [w.schema[c] for c in ("key", *names)]
+    schema = T.StructType([T.StructField("parcel", T.LongType()), *kinds, T.StructField("codes", T.BinaryType()), T.StructField("code", T.IntegerType()), T.StructField("word", T.StringType())])
+
+    def cut(sizes: np.ndarray):
+        """(from, to) of the parcels of a batch."""
+        at, ends = 0, np.cumsum(sizes)
+        while at < len(sizes):
+            used = ends[at - 1] if at else 0
+            z = max(at + 1, min(at + PARCEL_DOCS, int(np.searchsorted(ends, used + PARCEL_WORDS, "right"))))
+            yield at, min(z, len(sizes))
+            at = z
 
     def run(batches):
-        for b in batches:
-            lists = b.column("w")
-            flat = lists.flatten()
-            sizes = np.diff(lists.offsets.to_numpy())
-            row = np.repeat(np.arange(len(lists)), sizes)
-            place = np.arange(len(flat)) - np.repeat(np.r_[0, np.cumsum(sizes)[:-1]], sizes)
-            coded = flat.dictionary_encode()
-            pair = row.astype(np.int64) * max(len(coded.dictionary), 1) + coded.indices.to_numpy()
-            order = np.argsort(pair, kind="stable")
-            pair = pair[order]
-            start = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.zeros(0, np.int64)
-            places = pa.ListArray.from_arrays(pa.array(np.r_[start, len(pair)].astype(np.int32)), pa.array(place[order].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(row[order][start])), coded.dictionary.take(pa.array(pair[start] % max(len(coded.dictionary), 1))), places], names=["key", "word", "places"])
-
-    from pyspark.sql import types as T
+        from pyspark import TaskContext
 
-    schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("word", T.StringType()), T.StructField("places", T.ArrayType(T.IntegerType()))])
-    return w.where("w IS NOT NULL AND size(w) > 0").mapInArrow(run, schema)
+        parcel = TaskContext.get().partitionId() << 32
+        for b in batches:
+            sizes = pc.fill_null(pc.list_value_length(b.column("w")), 0).to_numpy(zero_copy_only=False)
+            for x, z in cut(sizes):
+                part = b.slice(x, z - x)
+                coded = pc.list_flatten(part.column("w")).dictionary_encode()
+                n, kind = len(coded.dictionary), _width(len(coded.dictionary))
+                off = np.r_[0, np.cumsum(sizes[x:z])] * np.dtype(kind).itemsize
+                data = coded.indices.to_numpy().astype(kind).tobytes()
+                codes = pa.Array.from_buffers(pa.binary(), z - x, [None, pa.py_buffer(off.astype(np.int32).tobytes()), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(parcel, pa.int64()), z - x), *[part.column(c) for c in ("key", *names)], codes, pa.nulls(z - x, pa.int32()), pa.nulls(z - x, pa.string())], names=schema.names)
+                if n:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.repeat(pa.scalar(parcel, pa.int64()), n), *[pa.nulls(n, part.column(c).type) for c in ("key", *names)], pa.nulls(n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), coded.dictionary.cast(pa.string())],
+                        names=schema.names,
+                    )
+                parcel += 1
+
+    return w.mapInArrow(run, schema)
 
 
 def encode_words(words: DataFrame, name: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
-    """(word, ids): every distinct word encoded once."""
+    """(parcel, code, ids) from (parcel, code, word): rows meet by word, and every distinct word is encoded once."""
     path = vocabulary_path(name, folder)
 
     def run(batches):
         import tiktoken
 
         enc = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=read_ranks(path), special_tokens={})
-        for b in batches:
-            ids = [enc.encode_ordinary(w) for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
-
-    return words.select("word").distinct().mapInArrow(run, "word string, ids array<int>")
+        last, last_ids = None, None
+        for b in batches:  # in the order of words, so equal words are neighbours, across batches too
+            coded = b.column("word").dictionary_encode()
+            table = []
+            for w in coded.dictionary.to_pylist():
+                if w != last:
+                    last, last_ids = w, enc.encode_ordinary(w)
+                table.append(last_ids)
+            ids = pa.array(table, pa.list_(pa.int32())).take(coded.indices)
+            yield pa.RecordBatch.from_arrays([b.column("parcel"), b.column("code"), ids], names=["parcel", "code", "ids"])
+
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "parcel long, code int, ids array<int>")
+
+
+def _joined(df: DataFrame, key: str, text: str, keep: list[str], name: str, folder: str | None, result: T.StructField, make) -> DataFrame:
+    """(key, keep..., result): documents of a parcel with the ids of its words; ``make(codes, offsets, id values, id
+    offsets)`` gives the result of all documents of a parcel."""
+    parcels = materialize(split_words(df, key, text, keep), "parcels")
+    docs = parcels.where("codes IS NOT NULL").drop("code", "word")
+    ids = encode_words(parcels.where("word IS NOT NULL").select("parcel", "code", "word"), name, folder)
+    names = ["key", *[f"k{i}" for i in range(len(keep))]]
+    schema = T.StructType([*[docs.schema[n] for n in names], result])
+
+    def run(d: pa.Table, w: pa.Table) -> pa.Table:
+        w = w.take(pc.sort_indices(w.column("code")))
+        codes = d.column("codes").combine_chunks() if d.num_rows else pa.array([], pa.binary())
+        kind = _width(w.num_rows)
+        off = np.frombuffer(codes.buffers()[1], np.int32)[codes.offset : codes.offset + len(codes) + 1] if len(codes) else np.zeros(1, np.int32)
+        data = codes.buffers()[2] if len(codes) else None
+        at = np.frombuffer(data, kind, (off[-1] - off[0]) // np.dtype(kind).itemsize, off[0]) if data and off[-1] > off[0] else np.zeros(0, kind)
+        lists = w.column("ids").combine_chunks() if w.num_rows else pa.array([], pa.list_(pa.int32()))
+        out = make(at.astype(np.int64), (off - off[0]).astype(np.int64) // np.dtype(kind).itemsize, lists.flatten().to_numpy(), np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())].astype(np.int64))
+        return pa.table([*[d.column(n) for n in names], out], names=schema.names)
+
+    found = docs.groupBy("parcel").cogroup(ids.groupBy("parcel")).applyInArrow(run, schema)
+    return found.select(F.col("key").alias(key), *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], result.name)
 
 
 def encode(df: DataFrame, key: str, text: str, name: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
-    """(key, ids): one row for every row of df; ``key`` must be unique.
+    """(key, ids): one row for every row of df.
 
-    Documents' words and the table of encoded words meet in a hash join on the word. A frequent word is spread by
-    salt: its row of the small side is repeated, its rows of the large side are dealt out.
+    Texts are cut into words once and written as numbers; the words of parcels are joined with the ids of distinct
+    words and go back to their parcel, where the ids are placed in the order of the words.
     """
-    salts = 8
-    used = materialize(split_words(df, key, text), "words")
-    table = encode_words(used, name, folder).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = used.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")).join(table, ["word", "salt"])
-    placed = joined.groupBy("key").agg(F.collect_list(F.struct("places", "ids")).alias("parts"))
 
-    def order(batches):
-        for b in batches:
-            parts = b.column("parts")
-            offsets = parts.offsets.to_numpy()
-            inner = parts.values
-            places, ids = inner.field("places"), inner.field("ids")
-            p_off, i_off = places.offsets.to_numpy(), ids.offsets.to_numpy()
-            p_all, i_all = places.values.to_numpy(), ids.values.to_numpy()
-            out, sizes = [], []
-            for d in range(len(parts)):
-                a, z = offsets[d], offsets[d + 1]
-                reps = p_off[a + 1 : z + 1] - p_off[a:z]
-                word = np.repeat(np.arange(a, z), reps)[np.argsort(p_all[p_off[a] : p_off[z]], kind="stable")]
-                n = i_off[word + 1] - i_off[word]
-                at = np.repeat(i_off[word] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                out.append(i_all[at])
-                sizes.append(len(at))
-            flat = np.concatenate(out) if out else np.zeros(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column("key"), lists], names=["key", "ids"])
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    found = placed.mapInArrow(order, schema)
-    blank = df.where(F.col(f"`{text}`").isNull() | (F.col(f"`{text}`") == "")).select(F.col(f"`{key}`").alias("key"), F.array().cast("array<int>").alias("ids"))
-    return found.unionByName(blank).withColumnRenamed("key", key)
-
-
-def token_counts(df: DataFrame, key: str, text: str, name: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
-    """(key, tokens): number of tokens of every row, 0 for null and empty texts."""
-    salts = 8
-    used = materialize(split_words(df, key, text).select("key", "word", F.size("places").alias("times")), "word-counts")
-    table = encode_words(used, name, folder).select("word", F.size("ids").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    joined = used.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")).join(table, ["word", "salt"])
-    counted = joined.groupBy("key").agg(F.sum(F.col("times") * F.col("n")).cast("long").alias("tokens"))
-    blank = df.where(F.col(f"`{text}`").isNull() | (F.col(f"`{text}`") == "")).select(F.col(f"`{key}`").alias("key"), F.lit(0).cast("long").alias("tokens"))
-    return counted.unionByName(blank).withColumnRenamed("key", key)
+    def make(codes, offsets, values, starts):
+        n = starts[codes + 1] - starts[codes]
+        ends = np.r_[0, np.cumsum(n)]
+        ids = values[np.repeat(starts[codes] - ends[:-1], n) + np.arange(ends[-1])]
+        return pa.ListArray.from_arrays(pa.array(ends[offsets].astype(np.int32)), pa.array(ids.astype(np.int32)))
+
+    return _joined(df, key, text, [], name, folder, T.StructField("ids", T.ArrayType(T.IntegerType())), make)
+
+
+def token_counts(df: DataFrame, key: str, text: str, name: str = "byte_bpe_50k", folder: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """(key, keep..., tokens): number of tokens of every row, 0 for null and empty texts."""
+
+    def make(codes, offsets, values, starts):
+        return pa.array(np.r_[0, np.cumsum(starts[codes + 1] - starts[codes])][offsets[1:]] - np.r_[0, np.cumsum(starts[codes + 1] - starts[codes])][offsets[:-1]])
+
+    return _joined(df, key, text, keep or [], name, folder, T.StructField("tokens", T.LongType()), make)
 
 
 def decode(encoded: DataFrame, key: str, spark, name: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
