@@ -15,7 +15,7 @@ def targets(spark, rows=TARGETS):
 def rows(scale=1):
     big = [(i, "big", 50 + i % 70, 1) for i in range(900 * scale)]
     small = [(10_000 + i, "small", 40 + i % 30, 2 if i < 40 else 1) for i in range(120)]
-    tiny = [(20_000 + i, "tiny", 30 + i, 1) for i in range(60)] + [(29_999, "tiny", 90_000, 1)]
+    tiny = [(20_000 + i, "tiny", 30 + i, 1) for i in range(60)] + [(29_999, "tiny", 9_000, 1)]
     return big + small + tiny + [(30_000, None, 5, 1), (30_001, "elsewhere", 5, 1)]
 
 
@@ -37,17 +37,37 @@ def test_inclusion_follows_the_odds(spark):
     """Over many seeds a document's mean number of copies is its expected number."""
     base = [(i, "a", 10, 2 if i < 50 else 1) for i in range(200)] + [(1000 + i, "b", 10, 1) for i in range(100)]
     s, t = sizes(spark, base), targets(spark, [("a", 0.5, 1), ("b", 0.5, 1)])
-    planned = mix.plan(s, t, 1000)
-    e = mix.expected_copies(s, planned)
-    want = {r.doc_id: r.expected for r in e.collect()}
-    assert abs(want[0] * 2 - want[199]) < 1e-9
-    hits = dict.fromkeys(want, 0)
+    counts = mix.multiplicities(s)
+    planned = mix.plan(counts, t, 1000)
+    assert dict(zip(planned.source, planned.planned, strict=True)) == {"a": 500.0, "b": 500.0}
+    cut = mix.cuts(s, counts, planned)
+    rate = dict(zip(cut.source, cut.rate, strict=True))
+    hits = dict.fromkeys((r[0] for r in base), 0)
     for seed in range(12):
-        for r in mix.pareto_sample(e, seed, passes=1).collect():
+        for r in mix.pareto_sample(s, mix.cuts(s, counts, planned, seed), seed).collect():
             hits[r.doc_id] += r.copies
     twice = sum(hits[i] for i in range(50)) / 50 / 12
     once = sum(hits[i] for i in range(50, 200)) / 150 / 12
-    assert abs(twice - want[0]) < 0.06 and abs(once - want[199]) < 0.06
+    assert abs(twice - rate["a"] / 2) < 0.06 and abs(once - rate["a"]) < 0.06
+
+
+def test_a_document_above_its_source_keeps_its_probability(spark):
+    """One document holds more than its source's whole share: drawn as often as its probability says, never dropped,
+    and what it leaves open or overdraws is taken from the smaller classes, or reported."""
+    base = [(i, "a", 8 + i % 5, 1) for i in range(400)] + [(999, "a", 9_000, 1)] + [(1000 + i, "b", 10, 1) for i in range(900)]
+    s, t = sizes(spark, base), targets(spark, [("a", 0.5, 2), ("b", 0.5, 1)])
+    counts = mix.multiplicities(s)
+    planned = mix.plan(counts, t, 12_000)
+    drawn = []
+    for seed in range(14):
+        m = mix.pareto_sample(s, mix.cuts(s, counts, planned, seed), seed).collect()
+        drawn.append(any(r.doc_id == 999 for r in m))
+        small = sum(r.tokens * r.copies for r in m if r.source == "a" and r.doc_id != 999)
+        # drawn: it alone is above the plan and nothing else is needed; not drawn: the others are repeated to fill the plan
+        assert small == 0 if drawn[-1] else abs(small - 6_000) < 60
+    assert 0.2 < sum(drawn) / 14 < 0.85
+    rep = {r.source: r for r in mix.shares(mix.mixture(s, t, 12_000), s, t, 12_000).collect()}
+    assert abs(rep["b"].gap) <= 10 and rep["a"].gap == rep["a"].tokens - rep["a"].planned
 
 
 def test_nothing(spark):
