@@ -51,3 +51,25 @@ def test_empty_table_and_clash(spark):
     assert unify.lookalike_pairs(df, "body", "row_id").collect() == []
     one = spark.createDataFrame([(1, "Ａ", "old"), (2, None, "old")], "row_id bigint, body string, form string")
     assert [r.form for r in unify.unify(one, "body", "form").orderBy("row_id").collect()] == ["a", None]
+
+
+def test_classes_against_pairs(spark):
+    texts = ["אב גד", "אב  גד", "אב\xa0גד", "ﬡב גד", None, "", "x", "x", "X", "y\u200b", "y", "y", "z", "z"]
+    df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "row_id bigint, sentence string, row int").repartition(3)
+    pairs = [(r.row_a, r.row_b) for r in unify.lookalike_pairs(df, "sentence", "row_id").collect()]
+    got = {r.row: (r["class"], r.ways, r.links) for r in unify.lookalike_classes(df, "sentence", "row_id").collect()}
+    links = {i: sum(i in p for p in pairs) for i in range(len(texts))}
+    assert {i: n for i, (_, _, n) in got.items()} == {i: n for i, n in links.items() if n}
+    assert got[0] == (0, 4, 3) and got[9] == (9, 2, 2) and got[10] == (9, 2, 1)
+    folded = {r.row: r["class"] for r in unify.lookalike_classes(df, "sentence", "row_id", fold=True).collect()}
+    assert folded[6] == folded[7] == folded[8] == 6
+
+
+def test_a_hot_form_is_no_square(spark):
+    """80,001 rows of one form, one of them in other characters: 80,000 pairs, in seconds."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(80_001).select(F.col("id").alias("row_id"), F.when(F.col("id") == 40_000, F.lit("אב\xa0גד")).otherwise(F.lit("אב גד")).alias("sentence"))
+    pairs = unify.lookalike_pairs(df, "sentence", "row_id")
+    r = pairs.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("row_a < row_b AND (row_a = 40000 OR row_b = 40000)")).alias("ok")).collect()[0]
+    assert r.n == r.ok == 80_000
