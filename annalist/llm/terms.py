@@ -9,8 +9,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from annalist.session import materialize
+
+#: Terms in at least this share of the rows are hot: at most 1/HOT_SHARE times as many as a row has distinct words in
+#: the mean (2,500 for rows of 50 words).
+HOT_SHARE = 0.02
 
 
 def _pairs(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
@@ -83,7 +90,7 @@ def term_frequencies(df: DataFrame, column: str, rare_below: int = 3, common_sha
     terms in fewer than ``rare_below`` records, ``common`` for terms in more than ``common_share`` of the records
     with non-null text (of both, ``rare``), else null. An empty table, or one of null texts only, gives no rows.
     """
-    runs = term_runs(df, column)
+    runs = materialize(term_runs(df, column), "term-runs")  # the range partitions are found by a sample of these
     merged = runs.repartitionByRange("term").sortWithinPartitions("term").mapInArrow(_scan, "term string, occurrences long, records long")
     total = df.agg(F.count(F.col(f"`{column}`")).alias("with_text"))
     mark = F.when(F.col("records") < rare_below, "rare").when(F.col("records") / F.col("with_text") > common_share, "common")
@@ -91,32 +98,36 @@ def term_frequencies(df: DataFrame, column: str, rare_below: int = 3, common_sha
 
 
 def record_terms(df: DataFrame, record: str, column: str, least: int = 1) -> DataFrame:
-    """(record, term, n, size): terms that stand at least ``least`` times in a row, with the words of that row.
+    """One reading of the text, two kinds of rows. ``n`` not null: (record, term, n, size), terms that stand at least
+    ``least`` times in a row, with the words of that row. ``n`` null: (term, occurrences, records) of every batch.
 
     Nothing is shuffled: a row's words are counted where the row is read.
     """
     kind = df.schema[record].dataType
+    out = T.StructType([T.StructField("record", kind), T.StructField("term", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("n", "size", "occurrences", "records")]])
 
     def run(batches):
         for b in batches:
             terms, code, row, count = _pairs(b.column(1))
+            terms, none = terms.cast(pa.string()), pa.nulls
             sizes = np.bincount(row, weights=count, minlength=b.num_rows).astype(np.int64)
+            first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.array([], np.int64)
+            k = len(first)
+            if k:
+                sums = [pa.array(np.add.reduceat(count, first).astype(np.int64)), pa.array(np.diff(np.r_[first, len(code)]).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([none(k, b.column(0).type), terms.take(pa.array(code[first])), none(k, pa.int64()), none(k, pa.int64()), *sums], names=out.names)
             keep = count >= least
             code, row, count = code[keep], row[keep], count[keep]
+            m = len(code)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(row)), terms.take(pa.array(code)).cast(pa.string()), pa.array(count.astype(np.int64)), pa.array(sizes[row])], names=["record", "term", "n", "size"]
+                [b.column(0).take(pa.array(row)), terms.take(pa.array(code)), pa.array(count.astype(np.int64)), pa.array(sizes[row]), none(m, pa.int64()), none(m, pa.int64())], names=out.names
             )
 
-    from pyspark.sql import types as T
-
-    out = T.StructType([T.StructField("record", kind), T.StructField("term", T.StringType()), T.StructField("n", T.LongType()), T.StructField("size", T.LongType())])
     return df.select(F.col(f"`{record}`").alias("r"), F.col(f"`{column}`").alias("text")).mapInArrow(run, out)
 
 
 def group_term_runs(df: DataFrame, group: str, column: str) -> DataFrame:
     """(grp, term, n, records) of every batch of rows and non-null group; they add up over the batches."""
-    from pyspark.sql import types as T
-
     def run(batches):
         for b in batches:
             b = b.filter(b.column(0).is_valid())
@@ -151,27 +162,31 @@ def log_likelihood(k11: Column, k12: Column, k21: Column, k22: Column) -> Column
     return F.when(k11.cast("double") * (k21 + k22) >= k21.cast("double") * (k11 + k12), g2).otherwise(-g2)
 
 
+def _score(n: str, occurrences: str, size: str, all_words: str) -> Column:
+    n, occurrences, size, all_words = map(F.col, (n, occurrences, size, all_words))
+    return log_likelihood(n, occurrences - n, size - n, all_words - occurrences - size + n)
+
+
 def distinctive_in_records(df: DataFrame, record: str, column: str, least: int = 1) -> DataFrame:
     """(record, term, n, occurrences, records, score): log-likelihood score of each term of each row against the
     rest of the collection.
 
     The table is n, the term elsewhere, the row's other words, all other words. ``least`` leaves out terms that
-    stand fewer times in the row, before anything is shuffled. The totals always count all rows. Only the totals of
-    terms that some row keeps are joined; a hot term is one row of the totals.
+    stand fewer times in the row, before anything is shuffled. The totals always count all rows. The text is read once.
+    The totals of hot terms are broadcast (1/HOT_SHARE times a row's distinct words bounds their number), so that no
+    join has a hot key; the totals of all others meet their rows by term.
     """
-    pairs = record_terms(df, record, column, least)
-    runs = term_runs(df, column)
-    totals = runs.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-    size = df.agg(F.sum(F.coalesce(_words_of(F.col(f"`{column}`")), F.lit(0)).cast("long")).alias("all_words"))
-    j = pairs.join(totals, "term").join(F.broadcast(size))
-    score = log_likelihood(F.col("n"), F.col("occurrences") - F.col("n"), F.col("size") - F.col("n"), F.col("all_words") - F.col("occurrences") - F.col("size") + F.col("n"))
-    return j.select("record", "term", "n", "occurrences", "records", score.alias("score"))
-
-
-def _words_of(text: Column) -> Column:
-    from annalist.functions.text import word_count
-
-    return F.when(text.isNotNull(), word_count(text))
+    counted = materialize(record_terms(df, record, column, least), "record-terms")
+    pairs = counted.where("n IS NOT NULL").select("record", "term", "n", "size")
+    totals = counted.where("n IS NULL").groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    totals = materialize(totals, "term-totals")
+    rows = df.count()
+    size = totals.agg(F.sum("occurrences").alias("all_words"))  # one row
+    hot = totals.where(F.col("records") >= max(HOT_SHARE * rows, 2))
+    near = pairs.join(F.broadcast(hot), "term")
+    far = pairs.join(F.broadcast(hot.select("term")), "term", "left_anti").join(totals.join(F.broadcast(hot.select("term")), "term", "left_anti"), "term")
+    j = near.unionByName(far).join(F.broadcast(size))
+    return j.select("record", "term", "n", "occurrences", "records", _score("n", "occurrences", "size", "all_words").alias("score"))
 
 
 def distinctive_in_groups(df: DataFrame, group: str, column: str, least_records: int = 1) -> DataFrame:
@@ -180,14 +195,16 @@ def distinctive_in_groups(df: DataFrame, group: str, column: str, least_records:
     Only rows with a non-null group count, in the group and in the rest alike. ``records`` are the rows of the group
     that hold the term, ``all_records`` those of all groups, ``group_records`` the rows of the group whether or not
     they have text. ``least_records`` leaves out terms in fewer rows of the group, after all are counted.
+
+    The text is read once, into sums per batch, term and group; these are shuffled once, by term. Sizes of groups are
+    sums of what is counted.
     """
-    per = group_term_runs(df, group, column).groupBy("term", "grp").agg(F.sum("n").alias("n"), F.sum("records").alias("records"))
-    by_term = per.groupBy("term").agg(F.sum("n").alias("occurrences"), F.sum("records").alias("all_records"), F.collect_list(F.struct("grp", "n", "records")).alias("g"))
-    groups = df.where(F.col(f"`{group}`").isNotNull()).groupBy(F.col(f"`{group}`").alias("grp")).agg(
-        F.count(F.lit(1)).alias("group_records"), F.sum(F.coalesce(_words_of(F.col(f"`{column}`")), F.lit(0)).cast("long")).alias("size")
-    )
-    size = groups.agg(F.sum("size").alias("all_words"))
-    one = by_term.select("term", "occurrences", "all_records", F.explode("g").alias("g")).select("term", "occurrences", "all_records", "g.*").where(F.col("records") >= least_records)
-    j = one.join(groups, "grp").join(F.broadcast(size))
-    score = log_likelihood(F.col("n"), F.col("occurrences") - F.col("n"), F.col("size") - F.col("n"), F.col("all_words") - F.col("occurrences") - F.col("size") + F.col("n"))
-    return j.select("grp", "term", "n", "records", "all_records", "group_records", score.alias("score"))
+    runs = group_term_runs(df, group, column).repartition("term")
+    per = runs.groupBy("term", "grp").agg(F.sum("n").alias("n"), F.sum("records").alias("records"))
+    w = Window.partitionBy("term")  # one row per group that holds the term
+    per = materialize(per.select("*", F.sum("n").over(w).alias("occurrences"), F.sum("records").over(w).alias("all_records")), "group-terms")
+    sizes = per.groupBy("grp").agg(F.sum("n").alias("size"))
+    counts = df.where(F.col(f"`{group}`").isNotNull()).groupBy(F.col(f"`{group}`").alias("grp")).agg(F.count(F.lit(1)).alias("group_records"))
+    all_words = sizes.agg(F.sum("size").alias("all_words"))  # one row
+    j = per.where(F.col("records") >= least_records).join(sizes.join(counts, "grp"), "grp").join(F.broadcast(all_words))
+    return j.select("grp", "term", "n", "records", "all_records", "group_records", _score("n", "occurrences", "size", "all_words").alias("score"))
