@@ -24,6 +24,39 @@ def p1_found(spark, sf_dir):
     return seg.select(F.lit("corpus_segments").alias("tbl"), "*").unionByName(wm.select(F.lit("word_measurements").alias("tbl"), "*"))
 
 
+def _classes(spark, sf_dir, fold):
+    seg = unify.lookalike_classes(table(spark, sf_dir, "corpus_segments"), "sentence", "row_id", fold=fold)
+    wm = unify.lookalike_classes(table(spark, sf_dir, "word_measurements"), "actual_word", "row_id", "text_id", fold)
+    return seg.select(F.lit("corpus_segments").alias("tbl"), "*").unionByName(wm.select(F.lit("word_measurements").alias("tbl"), "*"))
+
+
+@R.add("p1_classes")
+def p1_classes(spark, sf_dir):
+    """Rows written in several ways with their class and number of links; p1_found has the pairs."""
+    return _classes(spark, sf_dir, False)
+
+
+@R.add("p1_folded_classes")
+def p1_folded_classes(spark, sf_dir):
+    """The same with full case folding, so that case makes no difference."""
+    return _classes(spark, sf_dir, True)
+
+
+def _plain_sql(tbl, column):
+    return rf"""SELECT '{tbl}' AS tbl, row_id, CASE WHEN regexp_full_match({column}, '[\x00-\x7fא-ת]*') THEN lower(trim(regexp_replace({column}, '[\x09-\x0d\x1c-\x20]+', ' ', 'g'))) END AS form FROM {tbl}"""
+
+
+@R.add("p1_plain_forms", f"{_plain_sql('corpus_segments', 'sentence')} UNION ALL {_plain_sql('word_measurements', 'actual_word')}")
+def p1_plain_forms(spark, sf_dir):
+    """The form of every text that holds ASCII and plain Hebrew letters only, null for others: there SQL can say it."""
+    out = []
+    for tbl, column in (("corpus_segments", "sentence"), ("word_measurements", "actual_word")):
+        form = unify.unify(table(spark, sf_dir, tbl).select("row_id", column), column, "form")
+        plain = F.rlike(F.col(column), F.lit(r"\A[\x00-\x7fא-ת]*\z"))
+        out.append(form.select(F.lit(tbl).alias("tbl"), "row_id", F.when(plain, F.col("form")).alias("form")))
+    return out[0].unionByName(out[1])
+
+
 @R.add("p1_unified_sentences")
 def p1_unified_sentences(spark, sf_dir):
     return unify.unify(table(spark, sf_dir, "corpus_segments").select("row_id", "sentence"), "sentence", "form").select("row_id", "form")
@@ -153,7 +186,7 @@ def p8_decoded(spark, sf_dir):
 
 def _moderated(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    model = moderation.train(docs, table(spark, sf_dir, "doc_labels"))
+    model, _ = moderation.train(docs, table(spark, sf_dir, "doc_labels"))
     return moderation.score_documents(docs, model, ["doc_id", "source"])
 
 
@@ -167,6 +200,13 @@ def p10_rates(spark, sf_dir):
     return moderation.source_rates(_moderated(spark, sf_dir))
 
 
+@R.add("p10_quality")
+def p10_quality(spark, sf_dir):
+    """How the held-out labels agree with the model, all of them and those that it does not contradict strongly."""
+    _, report = moderation.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
+    return spark.createDataFrame(report, moderation.REPORT)
+
+
 @R.add("p10_found")
 def p10_found(spark, sf_dir):
     flags = F.array(*[F.when(F.col(f"flag_{c}"), F.lit(c)) for c in moderation.CATEGORIES])

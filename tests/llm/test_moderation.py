@@ -38,7 +38,10 @@ def test_held_out(spark):
     extra = [(9001, None, "src"), (9002, "", "src"), (9003, "   ", None), (9004, "the scribe copies the verse. " * 3000 + "you are a worthless goat", "src")]
     df = spark.createDataFrame(out + extra, "doc_id bigint, text string, source string").repartition(3)
     lab = spark.createDataFrame([x[:4] for x in labels if x[0] < 600], "doc_id bigint, abusive int, hateful int, sexual int")
-    model = m.train(df, lab)
+    model, report = m.train(df, lab)
+    assert [r[0] for r in report] == list(m.CATEGORIES) and report[0][1] == 600
+    hits, false, missed, sure_hits, sure_false, sure_missed = report[0][5:]
+    assert hits >= sure_hits > 50 and missed >= sure_missed and false >= sure_false and false + missed < 30
     got = {r.doc_id: r for r in m.score_documents(df, model, ["doc_id", "source"]).collect()}
     assert len(got) == len(out) + 4
     test = [i for i in truth if i >= 600]
@@ -54,7 +57,25 @@ def test_held_out(spark):
 def test_no_labels(spark):
     df = spark.createDataFrame([(1, "you idiot", None)], "doc_id bigint, text string, source string")
     none = spark.createDataFrame([], "doc_id bigint, abusive int, hateful int, sexual int")
-    model = m.train(df, none)
+    model, _ = m.train(df, none)
     r = m.score_documents(df, model, ["doc_id"]).collect()[0]
     assert not (r.flag_abusive or r.flag_hateful or r.flag_sexual)
     assert m.score_documents(df.limit(0), model, ["doc_id"]).collect() == []
+
+
+def test_bound_of_features(spark):
+    """The fit takes whole documents in the order of a hash until their features fill the bound; all are scored."""
+    out, labels = docs(300)
+    df = spark.createDataFrame(out, "doc_id bigint, text string, source string").repartition(3)
+    lab = spark.createDataFrame([x[:4] for x in labels], "doc_id bigint, abusive int, hateful int, sexual int")
+    whole, _ = m._labelled(df, lab, "doc_id", "text", 1000, 10**9)
+    part, y = m._labelled(df, lab, "doc_id", "text", 1000, len(whole.features) // 2)
+    assert len(whole) == 300 and 100 < len(part) < 200 and len(y) == len(part) and len(part.features) <= len(whole.features) // 2
+    assert np.array_equal(part.features, whole.features[: len(part.features)])
+
+
+def test_bags_are_made_sentence_by_sentence():
+    one, bags = m.make_bags(["You fool. Go away now", None, "x"])
+    assert [len(s) for s in one] == [2, 0, 1] and len(bags) == 3
+    alone = [m.make_bags([s])[1].features for s in ("You fool.", "Go away now", "x")]
+    assert np.array_equal(bags.features, np.concatenate(alone))
