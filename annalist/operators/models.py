@@ -157,26 +157,33 @@ def mds(distance: np.ndarray, starts: int = 4, rounds: int = 300, seed: int = 42
     return best, least
 
 
-def bubbles(points: np.ndarray, sizes: np.ndarray, pad: float = 0.15, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
-    """(centres, radii): circles with areas in proportion to sizes, pushed apart until none overlap."""
+def bubbles(points: np.ndarray, sizes: np.ndarray, pad: float = 0.15, rounds: int = 2_000) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, radii): circles with areas in proportion to sizes, relaxed until none overlap.
+
+    In every round each circle moves by half the sum of its overlaps, all at once; what overlap is left after the last
+    round is removed by stretching the whole picture.
+    """
     p = points.astype(float).copy()
-    spread = max(float(np.ptp(p, axis=0).max()) if len(p) else 1.0, 1e-9)
+    n = len(p)
+    if not n:
+        return p, np.zeros(0)
+    spread = max(float(np.ptp(p, axis=0).max()), 1e-9)
     r = np.sqrt(sizes / max(sizes.sum(), 1)) * spread / 2
-    for k in range(rounds * 4):
-        moved = False
-        for i in range(len(p)):
-            for j in range(i + 1, len(p)):
-                gap = p[j] - p[i]
-                dist = float(np.hypot(*gap))
-                need = (r[i] + r[j]) * (1 + pad)
-                if dist < need - 1e-9:
-                    way = gap / dist if dist > 1e-12 else np.array([np.cos(i + j + k), np.sin(i + j + k)])
-                    p[i] -= way * (need - dist) / 2
-                    p[j] += way * (need - dist) / 2
-                    moved = True
-        if not moved:
-            break
-    return p, r
+    need = (r[:, None] + r) * (1 + pad)
+    np.fill_diagonal(need, 0)
+    angle = np.arange(n) * 2.399963  # circles in one place part in as many directions
+    p += 1e-9 * spread * np.stack([np.cos(angle), np.sin(angle)], axis=1)
+    for _ in range(rounds):
+        way = p[:, None] - p
+        apart = np.sqrt((way**2).sum(-1))
+        over = np.maximum(need - apart, 0)
+        if over.max() <= 1e-9 * spread:
+            return p, r
+        p += (way * (over / np.maximum(apart, 1e-12))[..., None]).sum(1) / 2
+    apart = np.sqrt(((p[:, None] - p) ** 2).sum(-1))
+    np.fill_diagonal(apart, 1)
+    middle = p.mean(0)
+    return middle + (p - middle) * max(float((need / np.maximum(apart, 1e-12)).max()), 1.0), r
 
 
 def layout(spark: SparkSession, sim: DataFrame, sizes: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from annalist.functions import vectors
 from annalist.functions.text import words
-from annalist.operators import alignment, labels, models
+from annalist.operators import alignment, labels, models, sequence
 from annalist.plans.corpus_queries import _UNITS, split_sql
 from annalist.plans.registry import Registry, table
 from annalist.plans.sequence_queries import _SEGS, _segments
@@ -15,7 +15,7 @@ from annalist.plans.sequence_queries import _SEGS, _segments
 R = Registry()
 
 
-@R.add("segment_leans", f"WITH {_SEGS}, k AS (SELECT scluster, avg((filename LIKE 'Midrash%')::INT) / (SELECT avg((filename LIKE 'Midrash%')::INT) FROM frame WHERE filename IS NOT NULL) AS lift FROM frame WHERE filename IS NOT NULL GROUP BY scluster) SELECT segment, min(idx) AS from_idx, max(idx) + 1 AS to_idx, round(avg(lift), 6) AS lean FROM sg JOIN k USING (scluster) GROUP BY segment")
+@R.add("segment_leans", f"WITH RECURSIVE {_SEGS}, k AS (SELECT scluster, avg((filename LIKE 'Midrash%')::INT) / (SELECT avg((filename LIKE 'Midrash%')::INT) FROM frame WHERE filename IS NOT NULL) AS lift FROM frame WHERE filename IS NOT NULL GROUP BY scluster) SELECT segment, min(idx) AS from_idx, max(idx) + 1 AS to_idx, round(avg(lift), 6) AS lean FROM sg JOIN k USING (scluster) GROUP BY segment")
 def segment_leans(spark, sf_dir):
     """Mean lift of a genre's clusters in every segment."""
     s = _segments(spark, sf_dir)
@@ -52,7 +52,7 @@ def _label_permutations(spark, sf_dir, rounds):
     half = v.agg(F.floor(F.count(F.lit(1)) / 2).alias("half"))
     r = v.join(F.broadcast(spark.range(rounds + 1).withColumnRenamed("id", "rep")))
     key = F.when(F.col("rep") == 0, F.lpad(F.col("k").cast("string"), 9, "0")).otherwise(F.md5(F.concat_ws("-", F.col("rep").cast("string"), F.col("k").cast("string"))))
-    r = r.withColumn("key", key).withColumn("u", F.row_number().over(Window.partitionBy("rep").orderBy("key")) - 1).join(F.broadcast(half))
+    r = sequence.numbered(r.withColumn("key", key), "rep", "u", "key").join(F.broadcast(half))
     first = F.col("u") < F.col("half")
     g = r.groupBy("rep").agg(F.round(F.median(F.when(first, F.col("m"))) - F.median(F.when(~first, F.col("m"))), 9).alias("gap"))
     obs = g.where("rep = 0").select(F.col("gap").alias("observed"))

@@ -46,37 +46,53 @@ def jsd_curve(spark, sf_dir):
     return sequence.adjacent(sequence.blocks(_seq(spark, sf_dir), "idx", "label", B), B).select("x", F.round("jsd", 6).alias("jsd"))
 
 
-#: Change points for reports: the eight blocks with the greatest Jensen-Shannon distance to the one before.
-_CPS = f"{_ADJ}, cps AS (SELECT block, x FROM adj ORDER BY round(jsd, 9) DESC, block LIMIT 8)"
-
-
-def _points(adj):
-    return adj.orderBy(F.desc(F.round("jsd", 9)), "block").limit(8)
+#: Change points of the axis by PELT (squared deviations of block compositions, at least two blocks apart).
+PENALTY = 0.1
+_CPS = f"""{_ADJ}, cu AS (SELECT block, label, sum(p) OVER w AS s, sum(p * p) OVER w AS q FROM comp WINDOW w AS (PARTITION BY label ORDER BY block)),
+  edge AS (SELECT block + 1 AS b, label, s, q FROM cu UNION ALL SELECT DISTINCT 0, label, 0, 0 FROM cu),
+  cost AS (SELECT a.b AS s, z.b AS t, round(sum(z.q - a.q) - sum((z.s - a.s) ** 2) / (z.b - a.b), 9) AS c FROM edge a JOIN edge z ON a.label = z.label AND z.b - a.b >= 2 GROUP BY a.b, z.b),
+  ct AS (SELECT t, list(c ORDER BY s) AS cl FROM cost GROUP BY t),
+  dp AS (SELECT CAST(1 AS BIGINT) AS t, [-{PENALTY}, 1e300]::DOUBLE[] AS f, [0, 0]::BIGINT[] AS l UNION ALL
+    SELECT t, list_append(f, list_min(k)), list_append(l, CAST(list_position(k, list_min(k)) - 1 AS BIGINT)) FROM
+      (SELECT CAST(ct.t AS BIGINT) AS t, f, l, list_transform(range(1, len(cl) + 1), lambda i: round(f[i] + cl[i] + {PENALTY}, 9)) AS k FROM dp JOIN ct ON ct.t = dp.t + 1)),
+  done AS (SELECT l FROM dp ORDER BY t DESC LIMIT 1), back AS (SELECT l[len(l)] AS p FROM done UNION ALL SELECT l[p + 1] FROM back, done WHERE p > 0),
+  cps AS (SELECT CAST(p AS INT) AS block, CAST(p * {B} AS INT) AS x FROM back WHERE p > 0)"""
+
+
+def _points(comp):
+    """(block, x) of the change points of a composition of blocks."""
+    rows = comp.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("label", "p"))), lambda s: s["p"]).alias("x"))
+    t = sequence.pelt_points(rows.select(F.col("block").cast("long").alias("t"), "x"), PENALTY)
+    return t.select(F.col("t").cast("int").alias("block"), (F.col("t") * B).cast("int").alias("x"))
+
+
+@R.add("pelt_changepoints", f"WITH RECURSIVE {_CPS} SELECT block, x FROM cps")
+def pelt_changepoints(spark, sf_dir):
+    return _points(sequence.blocks(_seq(spark, sf_dir), "idx", "label", B))
 
 
-@R.add("changepoint_scores", f"WITH {_CPS} SELECT CAST(x AS INT) AS x, round(score, 6) AS score, label, round(p - q, 6) AS delta FROM cps JOIN adj USING (block, x) JOIN lagged USING (block) WHERE abs(p - q) > 1e-6")
+@R.add("changepoint_scores", f"WITH RECURSIVE {_CPS} SELECT CAST(x AS INT) AS x, round(score, 6) AS score, label, round(p - q, 6) AS delta FROM cps JOIN adj USING (block, x) JOIN lagged USING (block) WHERE abs(p - q) > 1e-6")
 def changepoint_scores(spark, sf_dir):
-    adj = sequence.adjacent(sequence.blocks(_seq(spark, sf_dir), "idx", "label", B), B)
-    return _points(adj).select("x", F.round("score", 6).alias("score"), F.explode("contributions").alias("c")).select("x", "score", "c.label", F.round("c.delta", 6).alias("delta"))
+    comp = materialize(sequence.blocks(_seq(spark, sf_dir), "idx", "label", B), "composition")
+    at = sequence.adjacent(comp, B).join(_points(comp).select("block"), "block")
+    return at.select("x", F.round("score", 6).alias("score"), F.explode("contributions").alias("c")).select("x", "score", "c.label", F.round("c.delta", 6).alias("delta"))
 
 
 _SEGS = f"{_CPS}, sg AS (SELECT f.*, CAST(1 + (SELECT count(*) FROM cps WHERE x <= f.idx) AS INT) AS segment FROM frame f)"
 
 
 def _segments(spark, sf_dir, *extra):
-    from annalist.session import materialize
-
     f = materialize(frame(spark, sf_dir, *extra), "frame")
-    adj = sequence.adjacent(sequence.blocks(f.select("idx", F.col("scluster").alias("label")), "idx", "label", B), B)
-    return sequence.assign_segments(f, "idx", materialize(_points(adj).select("x"), "points"))
+    comp = sequence.blocks(f.select("idx", F.col("scluster").alias("label")), "idx", "label", B)
+    return sequence.assign_segments(f, "idx", materialize(_points(comp).select("x"), "points"))
 
 
-@R.add("segment_assignment", f"WITH {_SEGS} SELECT row_id, segment FROM sg")
+@R.add("segment_assignment", f"WITH RECURSIVE {_SEGS} SELECT row_id, segment FROM sg")
 def segment_assignment(spark, sf_dir):
     return _segments(spark, sf_dir).select("row_id", "segment")
 
 
-@R.add("segment_texts", f"WITH {_SEGS} SELECT segment, filename, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (PARTITION BY segment), 6) AS pct_of_segment, round(100 * count(*) / sum(count(*)) OVER (PARTITION BY filename), 6) AS pct_of_text FROM sg WHERE filename IS NOT NULL GROUP BY segment, filename")
+@R.add("segment_texts", f"WITH RECURSIVE {_SEGS} SELECT segment, filename, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (PARTITION BY segment), 6) AS pct_of_segment, round(100 * count(*) / sum(count(*)) OVER (PARTITION BY filename), 6) AS pct_of_text FROM sg WHERE filename IS NOT NULL GROUP BY segment, filename")
 def segment_texts(spark, sf_dir):
     t = sequence.segment_texts(_segments(spark, sf_dir).where("filename IS NOT NULL"), "segment", "filename")
     return t.select("segment", "filename", "n", F.round("pct_of_segment", 6).alias("pct_of_segment"), F.round("pct_of_text", 6).alias("pct_of_text"))
@@ -84,7 +100,7 @@ def segment_texts(spark, sf_dir):
 
 @R.add(
     "segment_composition",
-    f"""WITH {_SEGS}, c AS (SELECT segment, filename, 100 * count(*) / sum(count(*)) OVER (PARTITION BY segment) AS ps, 100 * count(*) / sum(count(*)) OVER (PARTITION BY filename) AS pt FROM sg WHERE filename IS NOT NULL GROUP BY segment, filename),
+    f"""WITH RECURSIVE {_SEGS}, c AS (SELECT segment, filename, 100 * count(*) / sum(count(*)) OVER (PARTITION BY segment) AS ps, 100 * count(*) / sum(count(*)) OVER (PARTITION BY filename) AS pt FROM sg WHERE filename IS NOT NULL GROUP BY segment, filename),
       l AS (SELECT segment, filename, CASE WHEN pt >= 99.5 THEN '100%' ELSE CAST(CAST(round_even(pt, 0) AS BIGINT) AS VARCHAR) || '%' END || ' of ' || filename || ' (' || CAST(CAST(round_even(ps, 1) AS DECIMAL(10, 1)) AS VARCHAR) || '% of segment)' AS line FROM c)
       SELECT segment, min(idx) AS "start", max(idx) AS "end", count(*) AS n, first(composition) AS composition FROM sg JOIN (SELECT segment, string_agg(line, ' + ' ORDER BY filename) AS composition FROM l GROUP BY segment) USING (segment) WHERE filename IS NOT NULL GROUP BY segment""",
 )
@@ -92,7 +108,7 @@ def segment_composition(spark, sf_dir):
     return sequence.segment_table(_segments(spark, sf_dir).where("filename IS NOT NULL"), "segment", "filename", "idx")
 
 
-@R.add("segment_cluster_frequency", f"WITH {_SEGS}, c AS (SELECT segment, scluster, count(*) AS n FROM sg GROUP BY ALL) SELECT segment, rank, scluster, n, share FROM (SELECT *, round(n / sum(n) OVER (PARTITION BY segment), 6) AS share, row_number() OVER (PARTITION BY segment ORDER BY n DESC, scluster) AS rank FROM c) WHERE rank <= 5")
+@R.add("segment_cluster_frequency", f"WITH RECURSIVE {_SEGS}, c AS (SELECT segment, scluster, count(*) AS n FROM sg GROUP BY ALL) SELECT segment, rank, scluster, n, share FROM (SELECT *, round(n / sum(n) OVER (PARTITION BY segment), 6) AS share, row_number() OVER (PARTITION BY segment ORDER BY n DESC, scluster) AS rank FROM c) WHERE rank <= 5")
 def segment_cluster_frequency(spark, sf_dir):
     c = profile.composition(_segments(spark, sf_dir), "segment", "scluster")
     return profile.top_per_group(c, "segment", 5, F.desc("n"), "scluster").select("segment", "rank", "scluster", "n", F.round(F.col("pct_of_group") / 100, 6).alias("share"))
@@ -102,7 +118,7 @@ _SEGM = f"""{_SEGS}, v AS (SELECT * FROM sg WHERE {VALID}), e AS (SELECT segment
   m AS (SELECT segment, list(x ORDER BY d) AS mean FROM (SELECT segment, d, avg(x) AS x FROM e GROUP BY ALL) GROUP BY segment)"""
 
 
-@R.add("segment_means", f"WITH {_SEGM} SELECT segment, count(*) AS n, min(idx) AS first_idx, max(idx) AS last_idx, round(any_value(list_sum(mean)), 5) AS mean_sum, array_to_string(list_sort(list_distinct(list(string_split(filename, '-')[1]))), ', ') AS collections FROM v JOIN m USING (segment) GROUP BY segment")
+@R.add("segment_means", f"WITH RECURSIVE {_SEGM} SELECT segment, count(*) AS n, min(idx) AS first_idx, max(idx) AS last_idx, round(any_value(list_sum(mean)), 5) AS mean_sum, array_to_string(list_sort(list_distinct(list(string_split(filename, '-')[1]))), ', ') AS collections FROM v JOIN m USING (segment) GROUP BY segment")
 def segment_means(spark, sf_dir):
     v = _segments(spark, sf_dir, "vec").where(vectors.valid("vec", 64))
     m = profile.group_means(v, "segment", "vec")
@@ -110,7 +126,7 @@ def segment_means(spark, sf_dir):
     return m.join(e, "segment").select("segment", "n", "first_idx", "last_idx", F.round(F.aggregate("mean", F.lit(0.0), lambda s, x: s + x), 5).alias("mean_sum"), "collections")
 
 
-@R.add("segment_neighbors", f"WITH {_SEGM}, s AS (SELECT x.segment AS a, y.segment AS b, round(list_cosine_similarity(x.mean, y.mean), 6) AS sim FROM m x, m y WHERE x.segment <> y.segment) SELECT a, rank, b, sim FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rank FROM s) WHERE rank <= 5")
+@R.add("segment_neighbors", f"WITH RECURSIVE {_SEGM}, s AS (SELECT x.segment AS a, y.segment AS b, round(list_cosine_similarity(x.mean, y.mean), 6) AS sim FROM m x, m y WHERE x.segment <> y.segment) SELECT a, rank, b, sim FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rank FROM s) WHERE rank <= 5")
 def segment_neighbors(spark, sf_dir):
     m = profile.group_means(_segments(spark, sf_dir, "vec").where(vectors.valid("vec", 64)), "segment", "vec")
     return profile.nearest_groups(profile.mean_similarity(m, "segment"), 5)
@@ -193,8 +209,7 @@ def block_permutation_p(spark, sf_dir):
     x = global_index(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x")), "vec_id", out="t")
     b = x.withColumn("blk", F.floor(F.col("t") / 25)).join(F.broadcast(spark.range(20).withColumnRenamed("id", "rep")))
     key = F.when(F.col("rep") == 0, F.lpad(F.col("blk").cast("string"), 9, "0")).otherwise(F.md5(F.concat_ws("-", F.col("rep").cast("string"), F.col("blk").cast("string"))))
-    w = Window.partitionBy("rep").orderBy("key", "t")
-    o = b.withColumn("key", key).withColumn("u", (F.row_number().over(w) - 1).cast("long"))
+    o = sequence.numbered(b.withColumn("key", key), "rep", "u", "key", "t")
     st = sequence.split_statistics(o.select("rep", F.col("u").alias("t"), F.lit(0).alias("d"), "x"), 20, ["rep"])
     best = st.groupBy("rep").agg(F.max(F.round("stat", 9)).alias("stat"))
     obs = best.where("rep = 0").select(F.col("stat").alias("observed"))
@@ -266,27 +281,36 @@ def genre_profile_signal(spark, sf_dir):
     return v.join(F.broadcast(m)).select("row_id", "genre", (F.round(vectors.dot("vec", "c"), 5) + 0.0).alias("signal"))
 
 
-# --- without SQL: sequential kernels ------------------------------------------------------------------------------
+# --- without SQL ---------------------------------------------------------------------------------------------------
 
 
-def _block_rows(spark, sf_dir):
-    c = sequence.blocks(_seq(spark, sf_dir), "idx", "label", B)
-    return c.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("label", "p"))), lambda s: s["p"]).alias("x")).select(F.lit("axis").alias("axis"), F.col("block").alias("t"), "x")
+@R.add("binseg_order")
+def binseg_order(spark, sf_dir):
+    """The six most prominent change points of the axis, by squared deviations of block compositions."""
+    comp = sequence.blocks(_seq(spark, sf_dir), "idx", "label", B)
+    rows = comp.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("label", "p"))), lambda s: s["p"]).alias("x"))
+    out = sequence.binary_segmentation(materialize(rows.select(F.col("block").cast("long").alias("t"), "x"), "axis"), 6, 2)
+    return out.select("place", F.col("t").cast("int").alias("block"), "gain")
 
 
-@R.add("pelt_changepoints")
-def pelt_changepoints(spark, sf_dir):
-    return sequence.per_sequence(_block_rows(spark, sf_dir), "axis", lambda x: [(t, t * B) for t in sequence.pelt(x, 0.5)], "axis string, block int, x int")
+def _work_rows(spark, sf_dir):
+    """(filename, t, x): the valid vectors of every work, t their place in it."""
+    t = table(spark, sf_dir, "rabani_unsmoothed_table").where(F.col("filename").isNotNull() & vectors.valid("vec", 64)).select("filename", "chunk_number", "row_id", F.col("vec").alias("x"))
+    placed = global_index(t, "filename", "chunk_number", "row_id")
+    first = placed.groupBy(F.col("filename").alias("__f")).agg(F.min("idx").alias("__i"))
+    return placed.join(first, F.col("filename") == F.col("__f")).select("filename", (F.col("idx") - F.col("__i")).alias("t"), "x")
 
 
-@R.add("binseg_order")
-def binseg_order(spark, sf_dir):
-    return sequence.per_sequence(_block_rows(spark, sf_dir), "axis", lambda x: sequence.binary_segmentation(x, 6, 2), "axis string, place int, block int, gain double")
+@R.add("binseg_rbf")
+def binseg_rbf(spark, sf_dir):
+    """The most prominent change points of every work by the Gaussian kernel, over the mean vectors of its blocks."""
+    w = _work_rows(spark, sf_dir).select(F.concat_ws("\t", F.floor(F.col("t") / B).cast("string"), "filename").alias("k"), "x")
+    part = F.split("k", "\t", 2)
+    m = profile.group_means(w, "k", "x").select(part[1].alias("filename"), part[0].cast("long").alias("t"), F.col("mean").alias("x"))
+    return sequence.per_sequence(m, "filename", lambda x: sequence.kernel_segmentation(x, 6, 2), "filename string, place int, block int, gain double")
 
 
 @R.add("recursive_segmentation")
 def recursive_segmentation(spark, sf_dir):
-    """Significant change points of every file's vectors; one group per work."""
-    t = table(spark, sf_dir, "rabani_unsmoothed_table").where(F.col("filename").isNotNull() & vectors.valid("vec", 64))
-    long = t.select("filename", F.col("chunk_number").alias("t"), F.col("vec").alias("x"))
-    return sequence.per_sequence(long, "filename", lambda x: sequence.significant_splits(x, 10, 5), "filename string, t int, p double, depth int")
+    """Significant change points of every work's vectors, level by level."""
+    return sequence.significant_splits(_work_rows(spark, sf_dir), "filename", 10, 5)

@@ -141,15 +141,11 @@ def test_density_of_equal_values(spark):
 
 
 def test_concentrations_bridge_one_bin(spark):
-    counts = [10, 10, 0, 10, 0, 0, 0, 0, 9, 0]
-    rows = [(1, b) for b, n in enumerate(counts) for _ in range(n)]
+    """Smoothed by hand: 6 3 0 3 6 3 0 0 2 4, threshold 1.8; the one empty bin between 1 and 3 is bridged, two are not."""
+    counts = {0: 12, 4: 12, 9: 8}
+    rows = [(1, b) for b, n in counts.items() for _ in range(n)]
     got = profile.concentrations(spark.createDataFrame(rows, "k int, bin int"), "k", bins=10).collect()
-    smooth = [sum(w * (counts[i + d] if 0 <= i + d < 10 else 0) for d, w in ((-1, 1), (0, 2), (1, 1))) / 4 for i in range(10)]
-    on = [s >= 0.3 * max(smooth) for s in smooth]
-    for i in range(1, 9):
-        on[i] = on[i] or (on[i - 1] and on[i + 1])
-    runs = [[i for i, _ in g] for v, g in itertools.groupby(enumerate(on), key=lambda p: p[1]) if v]
-    assert sorted((r.from_pct, r.to_pct) for r in got) == sorted((10 * r[0], 10 * r[-1] + 10) for r in runs)
+    assert sorted((r.from_pct, r.to_pct, r.n) for r in got) == [(0, 60, 24), (80, 100, 8)]
 
 
 # --- sequences ----------------------------------------------------------------------------------------------------
@@ -184,13 +180,74 @@ def test_pelt_edges():
     assert sequence.pelt(np.ones((3, 2)), 0.5) == []
 
 
-def test_planted_split_is_found():
+def test_pelt_in_ranges(spark):
+    """Ranges with their neighbours' margins find the points of the whole sequence."""
+    rng = np.random.default_rng(7)
+    x = np.repeat(rng.standard_normal((30, 3)) * 2, 12, axis=0) + rng.standard_normal((360, 3)) * 0.2
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "t bigint, x array<double>")
+    whole = sequence.pelt(x, 1.0)
+    assert len(whole) >= 25
+    for span in (50, 4_000):
+        assert sorted(r.t for r in sequence.pelt_points(df, 1.0, span, 40).collect()) == whole, span
+
+
+def test_segments(spark):
+    seq = spark.range(10).withColumnRenamed("id", "idx")
+    pts = spark.createDataFrame([(4,), (7,), (7,), (99,)], "x int")
+    got = {r.idx: r.segment for r in sequence.assign_segments(seq, "idx", pts).collect()}
+    assert [got[i] for i in range(10)] == [1, 1, 1, 1, 2, 2, 2, 3, 3, 3]
+    assert {r.segment for r in sequence.assign_segments(seq, "idx", pts.limit(0)).collect()} == {1}
+
+
+def gap_statistic(x, t):
+    """The definition: t (n - t) / n |mean before - mean after|^2."""
+    return t * (len(x) - t) / len(x) * ((x[:t].mean(0) - x[t:].mean(0)) ** 2).sum()
+
+
+def test_split_scan_and_permutations():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((43, 3))
+    t, stat = sequence.split_scan(x, 5)
+    assert t[0] == 5 and t[-1] == 38 and np.allclose(stat, [gap_statistic(x, k) for k in t])
+    got = sequence.permuted_maxima(x, 4, 5, 6, np.random.default_rng(9))
+    again = np.random.default_rng(9)
+    for r in range(6):
+        y = x[[i for b in again.permutation(11) for i in range(43) if i // 4 == b]]
+        assert math.isclose(got[r], max(gap_statistic(y, k) for k in range(5, 39)))
+
+
+def test_planted_splits_are_found(spark):
     rng = np.random.default_rng(1)
-    x = np.concatenate([rng.standard_normal((80, 3)), rng.standard_normal((60, 3)) + 2])
-    found = sequence.significant_splits(x, 10, 5)
-    assert any(abs(t - 80) <= 2 for t, _, _ in found) and min(p for _, p, _ in found) == 1 / 200
-    assert sequence.significant_splits(rng.standard_normal((15, 3)), 10, 5) == []
-    assert sequence.binary_segmentation(x, 3, 10)[0][1] in range(78, 83)
+    x = np.concatenate([rng.standard_normal((80, 3)), rng.standard_normal((60, 3)) + 2, rng.standard_normal((60, 3)) - 2])
+    short = rng.standard_normal((15, 3))
+    rows = [("long", i, [float(v) for v in r]) for i, r in enumerate(x)] + [("short", i, [float(v) for v in r]) for i, r in enumerate(short)]
+    df = spark.createDataFrame(rows, "g string, t bigint, x array<double>").repartition(3)
+    found = [(r.g, r.t, r.p, r.depth) for r in sequence.significant_splits(df, "g", 10, 5).collect()]
+    assert {g for g, *_ in found} == {"long"} and min(p for *_, p, _ in found) == 1 / 200
+    for want in (80, 140):
+        assert any(abs(t - want) <= 2 for _, t, *_ in found)
+    assert {d for *_, d in found} >= {0, 1}
+    best = sequence.binary_segmentation(df.where("g = 'long'").select("t", "x"), 3, 10).collect()
+    assert [r.place for r in best] == [1, 2, 3] and {round(r.t / 10) for r in best[:2]} == {8, 14}
+    assert best[0].gain == pytest.approx(max(gap_statistic(x, t) for t in range(10, 191)))
+    assert sequence.binary_segmentation(df.where("g = 'short'").select("t", "x"), 3, 10).collect() == []
+
+
+def test_kernel_segmentation():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.standard_normal((20, 2)) * 0.3, rng.standard_normal((15, 2)) * 0.3 + 3])
+    place, t, gain = sequence.kernel_segmentation(x, 2, 3)[0]
+    assert (place, t) == (1, 20)
+    d = ((x[:, None] - x) ** 2).sum(-1)
+    k = np.exp(-d / np.median(d[np.triu_indices(35, 1)]))
+    cost = lambda a, b: (b - a) - k[a:b, a:b].sum() / (b - a)
+    assert math.isclose(gain, cost(0, 35) - cost(0, 20) - cost(20, 35), abs_tol=1e-8)
+    # labels as unit vectors: kernel and squared deviations differ by a factor only, so the order is the same
+    one = np.eye(3)[[0] * 9 + [1] * 7 + [2] * 8]
+    assert [t for _, t, _ in sequence.kernel_segmentation(one, 2, 2)] == [16, 9] or [t for _, t, _ in sequence.kernel_segmentation(one, 2, 2)] == [9, 16]
+    assert sequence.kernel_segmentation(x[:5], 2, 3) == []
+    with pytest.raises(ValueError):
+        sequence.kernel_segmentation(np.zeros((3_001, 1)), 1, 2)
 
 
 def test_permuted_splits_use_whole_vectors(spark):
@@ -204,7 +261,7 @@ def test_permuted_splits_use_whole_vectors(spark):
     parts = [x[i : i + 10] for i in range(0, len(x), 10)]
     for rep in range(200):
         at = sorted(range(len(parts)), key=lambda b: f"{b:09}" if rep == 0 else hashlib.md5(f"{rep}-{b}".encode()).hexdigest())
-        assert got[rep] == pytest.approx(sequence.best_split(np.concatenate([parts[b] for b in at]), 20)[1], abs=1e-8)
+        assert got[rep] == pytest.approx(sequence.split_scan(np.concatenate([parts[b] for b in at]), 20)[1].max(), abs=1e-8)
     assert (1 + sum(got[r] >= got[0] for r in range(1, 200))) / 200 < 0.01
 
 
@@ -228,19 +285,15 @@ def test_jensen_shannon(spark):
     assert sorted((c.label, c.delta) for c in got[8].contributions) == [(0, 0.5), (1, -0.5)]
 
 
-def test_circular_shift_equals_rolling(spark):
-    rng = np.random.default_rng(4)
-    seq = rng.integers(0, 3, 40)
-    df = spark.createDataFrame([(i, int(v)) for i, v in enumerate(seq)], "idx bigint, label int")
-    got = {r.shift: r.chi2 for r in sequence.circular_shift(df, "idx", "label", 13).collect()}
-
-    def chi2(s):
-        t = np.array([np.bincount(s[:13], minlength=3), np.bincount(s[13:], minlength=3)])
-        e = t.sum(1, keepdims=True) * t.sum(0) / t.sum()
-        return ((t - e) ** 2 / e)[:, e.sum(0) > 0].sum()
-
-    for r in range(40):
-        assert math.isclose(got[r], chi2(np.roll(seq, r)), abs_tol=1e-5), r
+def test_circular_shift(spark):
+    """By hand: labels 0 0 1 1, split in the middle; shifts 0 and 2 part them wholly (4), shifts 1 and 3 not at all (0)."""
+    df = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 1)], "idx bigint, label int")
+    shifts = sequence.circular_shift(df, "idx", "label", 2)
+    assert {r.shift: r.chi2 for r in shifts.collect()} == {0: 4.0, 1: 0.0, 2: 4.0, 3: 0.0}
+    assert tuple(sequence.shift_p(shifts).head()) == (4.0, 0.5)
+    # labels 0 1 1 1 0 0, split after two: before 1|1 of 3|3 at shift 0, 0|2 or 2|0 where the row of equals is cut off
+    df = spark.createDataFrame(list(enumerate([0, 1, 1, 1, 0, 0])), "idx bigint, label int")
+    assert {r.shift: r.chi2 for r in sequence.circular_shift(df, "idx", "label", 2).collect()} == {0: 0.0, 1: 3.0, 2: 3.0, 3: 0.0, 4: 3.0, 5: 3.0}
 
 
 # --- statistics and the rest --------------------------------------------------------------------------------------
@@ -351,12 +404,12 @@ def test_corpus_elbow_reads_the_corpus(spark, tmp_path):
 def test_queries_take_all_permutations_seeds_and_epochs(spark, tmp_path):
     from annalist.plans import model_queries, more_queries, sequence_queries
 
-    x = np.random.default_rng(5).standard_normal((60, 64))
-    x[30:] += 2
+    x = np.random.default_rng(5).standard_normal((120, 64))
+    x[60:] += 2
     rows = [(i, "a", i, [float(v) for v in r], "alpha beta gamma") for i, r in enumerate(x)]
     spark.createDataFrame(rows, "row_id bigint, filename string, chunk_number int, vec array<double>, chunk string").write.parquet(f"{tmp_path}/rabani_unsmoothed_table.parquet")
     found = sequence_queries.recursive_segmentation(spark, str(tmp_path)).collect()
-    assert any(r.t == 30 for r in found) and all(r.p == 0.005 for r in found)
+    assert any(r.t == 60 for r in found) and all(r.p == 0.005 for r in found)
     assert {(r.word, len(r.vec)) for r in model_queries.word_vectors(spark, str(tmp_path)).collect()} == {("alpha", 100), ("beta", 100), ("gamma", 100)}
     spark.createDataFrame([(i, 1.0 * (i < 15) + i / 1000) for i in range(30)], "text_id int, surprisal_bits double").write.parquet(f"{tmp_path}/word_measurements.parquet")
     assert more_queries.label_permutation_whole(spark, str(tmp_path)).first().p == pytest.approx(1 / 5001)
