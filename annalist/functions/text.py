@@ -6,6 +6,9 @@ information separators, which is exactly what Python's ``str.split`` and Arrow's
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,6 +72,17 @@ def strip_marks(text) -> Column:
     return F.regexp_replace(_c(text), r"\p{Mn}+", "")
 
 
+def strip_points(text) -> Column:
+    """Compatibility decomposition, no combining marks, compatibility composition: precomposed letters lose theirs too."""
+
+    @F.pandas_udf("string")
+    def plain(s: pd.Series) -> pd.Series:
+        bare = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+        return s.map(lambda t: None if t is None else t if t.isascii() else unicodedata.normalize("NFKC", bare(t)))
+
+    return plain(_c(text))
+
+
 def safe_name(name, n: int = 120) -> Column:
     return F.substring(F.regexp_replace(_c(name), r"[^A-Za-z0-9._-]+", "_"), 1, n)
 

@@ -127,9 +127,10 @@ def best_ratios(left: list[str], right: list[str]) -> list[tuple[float, int]]:
     return out
 
 
-def fuzzy_names(left: DataFrame, right: DataFrame, name: str, left_block: int = 256, right_block: int = 4096) -> DataFrame:
-    """(name, match, score, status): exact by normalised name, else the best difflib ratio over all names; exact,
-    likely from 0.85, check from 0.6, else none (with the best score, but no match). Of equal ratios the last name.
+def fuzzy_names(left: DataFrame, right: DataFrame, name: str, left_block: int = 256, right_block: int = 4096, manual: DataFrame | None = None) -> DataFrame:
+    """(name, match, score, status): exact by normalised name, else by the hand-made table ``manual`` (name, match), else
+    the best difflib ratio over all names; exact, manual, likely from 0.85, check from 0.6, else none (with the best score,
+    but no match). Of equal ratios the last name.
 
     Every name without an exact match meets every other one: names go into blocks of about ``left_block`` and
     ``right_block``, and each pair of blocks is one group (``best_ratios``), so no task holds more than two blocks.
@@ -137,7 +138,11 @@ def fuzzy_names(left: DataFrame, right: DataFrame, name: str, left_block: int =
     a = left.select(F.col(name).alias("a")).where("a IS NOT NULL").distinct().withColumn("na", normal_name("a"))
     b = right.select(F.col(name).alias("b")).where("b IS NOT NULL").distinct().withColumn("nb", normal_name("b"))
     exact = a.join(b, F.col("na") == F.col("nb")).groupBy("a").agg(F.min("b").alias("match")).select("a", "match", F.lit(1.0).alias("score"))
-    rest = materialize(a.join(exact, "a", "left_anti"), "unmatched")
+    open_ = a.join(exact, "a", "left_anti")
+    if manual is not None:
+        told = open_.join(manual.select(F.col(name).alias("a"), "match").where("match IS NOT NULL").dropDuplicates(["a"]), "a").select("a", "match", F.lit(None).cast("double").alias("score"))
+        open_ = open_.join(told, "a", "left_anti")
+    rest = materialize(open_, "unmatched")
     names = materialize(b.groupBy("nb").agg(F.max("b").alias("b")), "names")
     rows, cols = max(-(-rest.count() // left_block), 1), max(-(-names.count() // right_block), 1)
     tasks = min(rows * cols, 4 * rest.sparkSession.sparkContext.defaultParallelism)  # by number, else a few KB a block become one task
@@ -161,7 +166,24 @@ def fuzzy_names(left: DataFrame, right: DataFrame, name: str, left_block: int =
     best = pairs.groupBy("a").agg(F.max(F.struct("score", "b")).alias("m"))
     near = rest.join(best, "a", "left").select("a", F.when(F.col("m.score") >= 0.6, F.col("m.b")).alias("match"), F.coalesce("m.score", F.lit(0.0)).alias("score"))
     status = F.when(F.col("score") == 1.0, "exact").when(F.col("score") >= 0.85, "likely").when(F.col("score") >= 0.6, "check").otherwise("none")
-    return exact.unionByName(near).select(F.col("a").alias(name), "match", F.round("score", 3).alias("score"), status.alias("status"))
+    out = exact.unionByName(near)
+    out = out if manual is None else out.unionByName(told)
+    return out.select(F.col("a").alias(name), "match", F.round("score", 3).alias("score"), F.when(F.col("score").isNull(), "manual").otherwise(status).alias("status"))
+
+
+def title_cascade_full(names: DataFrame, titles: DataFrame, name: str, title: str, cutoff: float = 0.86, manual: DataFrame | None = None) -> DataFrame:
+    """(name, title, how): every name with a title - equal after dropping last words (``equal`` or ``shortened``), else the
+    most similar title from ``cutoff`` on (``fuzzy``), else by the hand-made table (``manual``), else null (``none``)."""
+    names = names.select(name).where(F.col(name).isNotNull()).distinct()
+    first = materialize(title_cascade(names, titles, name, title), "cascade").select(name, title, F.when(F.col("dropped") == 0, "equal").otherwise("shortened").alias("how"))
+    rest = names.join(first, name, "left_anti")
+    near = fuzzy_names(rest, titles.select(F.col(title).alias(name)), name).where(F.col("score") >= cutoff).select(name, F.col("match").alias(title), F.lit("fuzzy").alias("how"))
+    near = materialize(near, "fuzzy")
+    out, rest = first.unionByName(near), rest.join(near, name, "left_anti")
+    if manual is not None:
+        told = rest.join(manual.select(name, title).where(F.col(title).isNotNull()).dropDuplicates([name]), name).select(name, title, F.lit("manual").alias("how"))
+        out, rest = out.unionByName(told), rest.join(told, name, "left_anti")
+    return out.unionByName(rest.select(name, F.lit(None).cast("string").alias(title), F.lit("none").alias("how")))
 
 
 def quality_checks(segments: DataFrame) -> DataFrame:
@@ -179,3 +201,39 @@ def quality_checks(segments: DataFrame) -> DataFrame:
     pairs = [F.struct(F.lit(name).alias("check"), F.col(f"c{i}").alias("violations")) for i, name in enumerate(checks)]
     pairs.append(F.struct(F.lit("segment repeated").alias("check"), F.col("dup").alias("violations")))
     return counts.select(F.explode(F.array(*pairs)).alias("x")).select("x.*")
+
+
+#: Fields of a corpus record and their types.
+FIELDS = {
+    "location": "string", "segment": "bigint", "sentence": "string", "orig_sentence": "string", "from_word": "int", "to_word": "int", "text_length": "int", "title": "string",
+    "he_title": "string", "categories": "array<string>", "ref_links": "array<string>", "versions": "string", "version_source": "string",
+}
+
+
+def validation_checks(segments: DataFrame, known: set[str] = frozenset()) -> DataFrame:
+    """(check, violations) of the twelve checks of a corpus, but for a second copy of the text, which the table lacks.
+    ``known`` are columns besides FIELDS that are expected. Fields are counted, other checks count rows (or places)."""
+    from annalist.functions.text import word_count
+
+    kinds = dict(segments.dtypes)
+    n = word_count(F.coalesce("sentence", F.lit("")))
+    base = F.regexp_replace("location", "_part_[0-9]+$", "")
+    part = F.regexp_extract("location", "_part_([0-9]+)$", 1)
+    w = Window.partitionBy("filename", "__base").orderBy("from_word", "segment", "row_id")  # the parts of one place
+    s = segments.withColumn("__base", base).withColumn("__part", part).withColumn("__before", F.lag("to_word").over(w))
+    rows = {
+        "text_length is the number of words": F.col("text_length") != n, "from_word is 1 or more": F.col("from_word") < 1,
+        "to_word follows from from_word": F.col("to_word") != F.col("from_word") + F.col("text_length") - 1,
+        "parts follow one another": (F.col("__part") != "") & (F.col("__part") != "1") & ((F.col("__before") + 1).eqNullSafe(F.col("from_word")) == F.lit(False)),
+        "no empty text": F.coalesce(F.trim("sentence"), F.lit("")) == "", "no empty original": F.coalesce(F.trim("orig_sentence"), F.lit("")) == "",
+        "categories are given": F.coalesce(F.size("categories"), F.lit(0)) <= 0, "at most 250 words": n > 250, "at least 5 words": n < 5,
+        "location is given": F.coalesce(F.col("location"), F.lit("")) == "",
+    }
+    counts = s.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(f"c{i}") for i, c in enumerate(rows.values())], (F.count("segment") - F.count_distinct("segment")).alias("repeated"))
+    per = segments.where("segment IS NOT NULL").groupBy("filename").agg((F.max("segment") - F.min("segment") + 1 - F.count_distinct("segment")).alias("gaps"))
+    gaps = per.agg(F.coalesce(F.sum("gaps"), F.lit(0)).alias("gaps"))
+    fixed = {"fields are there": sum(c not in kinds for c in FIELDS), "no other fields": sum(c not in FIELDS and c not in known for c in kinds), "types are right": sum(kinds.get(c, t) != t for c, t in FIELDS.items())}
+    pairs = [F.struct(F.lit(k).alias("check"), F.lit(v).cast("long").alias("violations")) for k, v in fixed.items()]
+    pairs += [F.struct(F.lit(k).alias("check"), F.col(f"c{i}").alias("violations")) for i, k in enumerate(rows)]
+    pairs += [F.struct(F.lit("segments follow one another in a file").alias("check"), F.col("gaps").alias("violations")), F.struct(F.lit("segments are unique").alias("check"), F.col("repeated").alias("violations"))]
+    return counts.join(F.broadcast(gaps)).select(F.explode(F.array(*pairs)).alias("x")).select("x.*")  # one row each

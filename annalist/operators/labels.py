@@ -54,3 +54,23 @@ def search(df: DataFrame, text: str, query: str) -> DataFrame:
     for w in query.lower().split():
         cond = cond & F.contains(F.lower(text), F.lit(w))
     return df.where(cond)
+
+
+def assign_genres(df: DataFrame, title: str, category: str, rules: DataFrame) -> DataFrame:
+    """df with ``genre`` by rules (genre, kind, value). A row has the genre whose rule of kind ``title`` names its title,
+    else the genre whose ``category`` is its own unless an ``except`` of that genre names its title, else null; of several
+    the first by name. Rules are a short, hand-made list; they are broadcast."""
+    r = lambda kind, value: F.broadcast(rules.where(F.col("kind") == kind).groupBy(F.col("value").alias(value)).agg(F.array_sort(F.collect_set("genre")).alias(f"__{kind}")))
+    d = df.join(r("title", title), title, "left").join(r("category", category), category, "left").join(r("except", title), title, "left")
+    none = F.array().cast("array<string>")
+    by_category = F.array_except(F.coalesce("__category", none), F.coalesce("__except", none))
+    return d.withColumn("genre", F.coalesce(F.get("__title", F.lit(0)), F.get(by_category, F.lit(0)))).drop("__title", "__category", "__except")
+
+
+def require_counts(df: DataFrame, column: str, expected: dict[str, int]) -> DataFrame:
+    """df, unless the number of rows of some value of ``column`` is not the expected one: then an error names them."""
+    got = {r[0]: r[1] for r in df.where(F.col(column).isin(list(expected))).groupBy(column).agg(F.count(F.lit(1))).collect()}
+    wrong = [f"{k}: {got.get(k, 0)} instead of {n}" for k, n in sorted(expected.items()) if got.get(k, 0) != n]
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    return df

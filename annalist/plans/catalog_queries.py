@@ -142,7 +142,7 @@ def safe_names(spark, sf_dir):
     return _cat(spark, sf_dir).select("filename", safe_name("filename").alias("safe"), cleaning.unit_id("he_title").alias("unit_id"))
 
 
-@R.add("sentence_split")
+@R.add("sentence_split", r"SELECT doc_id, CAST(unnest(range(len(s))) AS INT) AS place, unnest(s) AS sentence FROM (SELECT doc_id, list_filter(string_split_regex(regexp_replace(text, '([.!?;])[\x09-\x0d ]+', '\1' || chr(10), 'g'), '[\r\n]+'), lambda x: trim(x) <> '') AS s FROM documents WHERE text IS NOT NULL)")
 def sentence_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(sentences("text")).alias("place", "sentence"))
 

@@ -85,6 +85,14 @@ def append_missing(df: DataFrame, path: str, key: list[str], partition: list[str
     return n
 
 
+def cache_counts(chunks: DataFrame) -> DataFrame:
+    """(filename, n_chunks, words, first, last) of a table of chunks."""
+    from annalist.functions.text import word_count
+
+    words = F.sum(F.coalesce(F.when(F.col("chunk").isNotNull(), word_count("chunk")), F.lit(0)).cast("long"))
+    return chunks.where("filename IS NOT NULL").groupBy("filename").agg(F.count(F.lit(1)).alias("n_chunks"), words.alias("words"), F.min("chunk_number").alias("first"), F.max("chunk_number").alias("last"))
+
+
 class Store:
     """Chunk vectors by model and chunk size: one Parquet table, partitioned, so a selection reads only its part."""
 
@@ -118,6 +126,16 @@ class Store:
 
         return self.chunks(model, size).groupBy("filename").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(word_count("chunk")).alias("words"), F.first("hierarchy", ignorenulls=True).alias("hierarchy"))
 
+    def models(self) -> DataFrame:
+        """(model, chunk_size, files, chunks) of everything in the store."""
+        return self.spark.read.parquet(f"{self.root}/chunks").groupBy("model", "chunk_size").agg(F.count_distinct("filename").alias("files"), F.count(F.lit(1)).alias("chunks"))
+
+    def import_cache(self, cached: DataFrame, model: str, size: int) -> DataFrame:
+        """Take a cached table of chunks into the store, files that are there already left alone; the (filename, n_chunks,
+        words, first, last) of what the table holds."""
+        self.add(cached, model, size)
+        return cache_counts(cached)
+
     def catalogue(self, model: str, size: int, titles: DataFrame) -> DataFrame:
         """Index with names: Hebrew, else English, else the last part of the filename."""
         last = F.element_at(F.split(F.regexp_replace("filename", r"\.jsonl?$", ""), "-"), -1)
@@ -137,6 +155,53 @@ class Store:
         return global_index(c.withColumn("__h", hierarchy_key("hierarchy")), "__h", "filename", "chunk_number").drop("__h")
 
 
+def missing_path(e: Exception) -> bool:
+    """Whether a read failed because there is nothing yet."""
+    return any(c in str(e) for c in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"))
+
+
+def read_titles(spark: SparkSession, path: str) -> DataFrame:
+    """(filename, title, he_title) from JSON lines; records that do not parse or lack a filename are left out, of a file
+    named twice the first by title counts."""
+    return parse_titles(spark.read.text(path), "value")
+
+
+def parse_titles(df: DataFrame, record: str) -> DataFrame:
+    """read_titles of JSON texts in a column."""
+    t = df.select(F.from_json(F.col(record), "filename string, title string, he_title string", {"mode": "PERMISSIVE"}).alias("t")).where("t.filename IS NOT NULL")
+    return t.groupBy("t.filename").agg(F.min(F.struct("t.title", "t.he_title")).alias("m")).select("filename", "m.title", "m.he_title")
+
+
+class Cache:
+    """Results by the hash of their canonical key: written once, read back by whoever asks for the same key."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    @staticmethod
+    def key(files: list[str], size: int, **more) -> str:
+        import hashlib
+        import json
+
+        return hashlib.sha256(json.dumps({"files": sorted(files), "size": size, **more}, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()[:24]
+
+    def get(self, key: str) -> DataFrame | None:
+        """The table of a key; None where there is none. A table that was not written to its end counts as none."""
+        try:
+            resolve(self.spark, f"{self.root}/{key}/_SUCCESS")
+        except FileNotFoundError:
+            return None
+        return self.spark.read.parquet(f"{self.root}/{key}")
+
+    def get_or_make(self, key: str, make) -> tuple[DataFrame, bool]:
+        """(table, whether it was there)."""
+        found = self.get(key)
+        if found is not None:
+            return found, True
+        make().write.mode("overwrite").parquet(f"{self.root}/{key}")
+        return self.spark.read.parquet(f"{self.root}/{key}"), False
+
+
 class RunLog:
     """Records of runs as JSON documents in one table; notes are appended, the latest wins."""
 
@@ -155,14 +220,27 @@ class RunLog:
         self.spark.createDataFrame([(token, changed, name, runner, notes, tags or [])], self.META).write.mode("append").json(f"{self.root}/meta")
 
     def runs(self) -> DataFrame:
-        """Runs, newest first, with their latest notes."""
-        runs = self.spark.read.schema(self.RUN).json(f"{self.root}/runs")
+        """Runs, newest first, with their latest notes. Records that do not parse are left out; what older records lack is
+        filled in (no files, no results, seconds unknown)."""
+        bad = "_malformed"
+        runs = self.spark.read.schema(f"{self.RUN}, {bad} string").option("columnNameOfCorruptRecord", bad).json(f"{self.root}/runs")
+        runs = runs.where(F.col(bad).isNull() & F.col("token").isNotNull()).drop(bad)
+        runs = runs.withColumns({"files": F.coalesce("files", F.array().cast("array<string>")), "results": F.coalesce("results", F.lit("{}")), "params": F.coalesce("params", F.lit("{}"))})
         try:
             meta = self.spark.read.schema(self.META).json(f"{self.root}/meta").groupBy("token").agg(F.max_by(F.struct("name", "runner", "notes", "tags"), "changed").alias("meta"))
-        except Exception:  # noqa: BLE001 - no notes yet
+        except Exception as e:  # noqa: BLE001 - no notes yet
+            if not missing_path(e):
+                raise
             meta = self.spark.createDataFrame([], "token string, meta struct<name:string,runner:string,notes:string,tags:array<string>>")
         return runs.join(meta, "token", "left").orderBy(F.desc("started"), "token")
 
+    def copy_as_new(self, token: str, started) -> str:
+        """A new run with the parameters, files and results of an old one; its token."""
+        r = self.runs().where(F.col("token") == token).head()
+        if r is None:
+            raise ValueError(f"no run {token}")
+        return self.record(started, r.seconds or 0.0, r.params, list(r.files), r.chunks or 0, r.words or 0, r.results)
+
     def find(self, params: str, files: list[str]) -> str | None:
         """Token of the newest run with the same parameters and files."""
         key = F.sha2(F.to_json(F.struct(F.lit(params).alias("p"), F.array(*[F.lit(f) for f in sorted(files)]).alias("f"))), 256)
