@@ -40,18 +40,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from annalist.operators.order import global_index
-from annalist.session import materialize
+from annalist.session import discard, materialize
 
 DIM, SEED = 48, 3
 #: Records of a bucket beyond which it is cut by more planes.
 CAP = 64
 #: Words in at least this share of the records (and in FREQUENT_LEAST of them) are frequent: at most 1/share times the
 #: words of a name of them, about 2,000.
-FREQUENT, FREQUENT_LEAST = 0.004, 4
+FREQUENT, FREQUENT_LEAST = 0.004, 8
 #: Walks from every record, hops of a walk, nodes written of every record on it.
-WALKS, HOPS, BESIDE = 3, 2, 12
-#: Candidates of a smaller cosine are no matches.
-LEAST_COSINE = 0.45
+WALKS, HOPS, BESIDE = 5, 2, 12
+#: Candidates of a smaller cosine, or with fewer of their letters equal in both scripts, are no matches.
+LEAST_COSINE, LEAST_LETTERS = 0.35, 0.45
 
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _WORD = re.compile(r"[^\W_]+")
@@ -199,8 +199,8 @@ def weighted(records: DataFrame, vectors: dict[str, np.ndarray]) -> dict[str, np
 
 
 def tables_for(bits: int) -> int:
-    """Tables of ``bits`` planes: six more for every plane above eight."""
-    return 24 + 6 * max(bits - 8, 0)
+    """Tables of ``bits`` planes: four more for every plane above eight."""
+    return 24 + 4 * max(bits - 8, 0)
 
 
 #: Places kept of each table's least certain planes.
@@ -208,11 +208,11 @@ _WEAK = 8
 
 
 def record_vectors(records: DataFrame, table: dict[str, np.ndarray], frequent: set[str], tables: int) -> DataFrame:
-    """records with ``vec`` (unit length; of the tokens of the rare words, or of all words where none is rare), ``codes`` (sides of 32 planes in each table) and ``weak`` (each table's least
+    """records with the rare words of both scripts (all words where none is rare), ``vec`` (unit length; of the tokens of the rare words, or of all words where none is rare), ``codes`` (sides of 32 planes in each table) and ``weak`` (each table's least
     certain planes, from the least certain on)."""
     planes = np.random.default_rng(SEED).standard_normal((DIM, tables * 32)).astype(np.float32)
     place = 1 << np.arange(31, -1, -1, dtype=np.int64)
-    more = [T.StructField("vec", T.ArrayType(T.FloatType())), T.StructField("codes", T.ArrayType(T.LongType())), T.StructField("weak", T.ArrayType(T.ArrayType(T.IntegerType())))]
+    more = [T.StructField("rare_latin", T.StringType()), T.StructField("rare_hebrew", T.StringType()), T.StructField("vec", T.ArrayType(T.FloatType())), T.StructField("codes", T.ArrayType(T.LongType())), T.StructField("weak", T.ArrayType(T.ArrayType(T.IntegerType())))]
 
     def run(frames):
         for f in frames:
@@ -221,7 +221,8 @@ def record_vectors(records: DataFrame, table: dict[str, np.ndarray], frequent: s
             x = np.stack([np.sum([table[t] for t in ts if t in table] or [np.zeros(DIM)], axis=0) for ts in name]) if len(f) else np.zeros((0, DIM))
             x = (x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9)).astype(np.float32)
             z = (x @ planes).reshape(len(f), tables, 32)
-            yield f.assign(vec=list(x), codes=list((z > 0) @ place), weak=[[list(map(int, t)) for t in r] for r in np.argsort(np.abs(z), axis=2)[:, :, :_WEAK]])
+            rare = [[" ".join([w for w in ws if w not in frequent] or ws) or None for ws in f[c]] for c in ("latin", "hebrew")]
+            yield f.assign(rare_latin=rare[0], rare_hebrew=rare[1], vec=list(x), codes=list((z > 0) @ place), weak=[[list(map(int, t)) for t in r] for r in np.argsort(np.abs(z), axis=2)[:, :, :_WEAK]])
 
     return records.mapInPandas(run, T.StructType([*records.schema.fields, *more]))
 
@@ -234,11 +235,14 @@ def candidates(records: DataFrame, bits: int) -> DataFrame:
     Records with equal attributes were merged before, so a full code is shared by few.
     """
     c = records.select("rid", "side", F.posexplode(F.arrays_zip("codes", "weak")).alias("tbl", "z")).select("rid", "side", "tbl", F.col("z.codes").alias("code"), F.col("z.weak").alias("weak"))
-    pairs, depth = None, bits
+    pairs, depth, last = None, bits, None
     while True:
         c = c.withColumn("bucket", F.shiftright("code", 32 - depth))
         size = c.groupBy("tbl", "bucket").agg(F.count(F.lit(1)).alias("n"))
         sized = materialize(c.join(size, ["tbl", "bucket"]), "buckets")
+        if last is not None:
+            discard(last)
+        last = sized
         now = sized if depth == 32 else sized.where(F.col("n") <= CAP)
         flips = F.transform(F.slice(F.filter("weak", lambda p: p < depth), 1, 2), lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), (F.lit(depth - 1) - p).cast("int")))
         one, two = F.coalesce(F.get("f", F.lit(0)), F.lit(0).cast("long")), F.coalesce(F.get("f", F.lit(1)), F.lit(0).cast("long"))
@@ -248,6 +252,7 @@ def candidates(records: DataFrame, bits: int) -> DataFrame:
         pairs = p if pairs is None else pairs.unionByName(p)
         c = sized.where(F.col("n") > CAP).select("rid", "side", "tbl", "code", "weak")
         if depth == 32 or not c.take(1):
+            discard(sized)
             return pairs.distinct()
         depth = min(32, depth + 6)
 
@@ -273,10 +278,10 @@ class Aligner:
 
     def __init__(self, table: dict[str, np.ndarray], frequent: set[str]):
         self.table, self.frequent = table, frequent
-        self.vector = functools.lru_cache(100_000)(self._vector)
-        self.similar = functools.lru_cache(500_000)(self._similar)
-        self.split = functools.lru_cache(100_000)(self._split)
-        self.counterparts = functools.lru_cache(200_000)(self._counterparts)
+        self.vector = functools.lru_cache(50_000)(self._vector)
+        self.similar = functools.lru_cache(100_000)(self._similar)
+        self.split = functools.lru_cache(20_000)(self._split)
+        self.counterparts = functools.lru_cache(50_000)(self._counterparts)
 
     def _vector(self, word: str) -> np.ndarray:
         own = self.table.get(f"w:{word}") if word in self.frequent else None
@@ -338,8 +343,6 @@ class Aligner:
         return out + more, lacks
 
 
-#: Codes (of 32 sides each) that the first look at a pair compares.
-_SIGN = 8
 #: Classes of pairs: one work in one edition, one work in other editions or parts, different works.
 _CLASSES = 3
 #: What is told once counts in full, what both scripts tell (and the cosine of both) counts half.
@@ -361,17 +364,15 @@ def _start(outcomes: list[tuple[str, str]], lacks: int) -> int:
 
 
 def compare(pairs: DataFrame, records: DataFrame, table: dict[str, np.ndarray], frequent: set[str]) -> DataFrame:
-    """(b, c): every record of side b with its candidates (a, cosine, start, codes) whose cosine reaches LEAST_COSINE. A
-    record has at most four times CAP candidates per table and depth, so the list is bounded."""
+    """(b, c): every record of side b with its candidates (a, cosine, start, codes) that reach LEAST_LETTERS and
+    LEAST_COSINE. The letters, edit distances in the JVM, come first: they need no vectors. A record has at most four times CAP candidates per table and depth, so the list is bounded."""
     cols = ["rid", "vec", *_NAMES]
     a = records.where("side = 'a'").select(*[F.col(c).alias(f"{c}_a") for c in cols])
     b = records.where("side = 'b'").select(*[F.col(c).alias(f"{c}_b") for c in cols])
-    # the share of differing sides tells the angle to about five degrees: pairs far below the limit need no exact cosine
-    far = math.cos(min(math.acos(LEAST_COSINE) + math.radians(5.0 * 3), math.pi))
-    sides = records.select("rid", "side", F.slice("codes", 1, _SIGN).alias("s"))
-    p = pairs.join(sides.where("side = 'a'").select(F.col("rid").alias("a"), F.col("s").alias("s_a")), "a").join(sides.where("side = 'b'").select(F.col("rid").alias("b"), F.col("s").alias("s_b")), "b")
-    differ = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n)
-    near = p.where(differ <= F.lit(math.acos(far) / math.pi * 32 * _SIGN)).select("a", "b")
+    name = records.select("rid", "side", "rare_latin", "rare_hebrew")
+    one, two = (name.where(f"side = '{x}'").select(F.col("rid").alias(x), F.col("rare_latin").alias(f"l_{x}"), F.col("rare_hebrew").alias(f"h_{x}")) for x in "ab")
+    same = lambda x, y: F.coalesce(1 - F.levenshtein(F.col(x), F.col(y)) / F.greatest(F.length(x), F.length(y)), F.lit(0.0))
+    near = pairs.join(one, "a").join(two, "b").where(F.greatest(same("l_a", "l_b"), same("h_a", "h_b")) >= LEAST_LETTERS).select("a", "b")
     j = near.join(a, near.a == a.rid_a).join(b, near.b == b.rid_b).drop("rid_a", "rid_b")
 
     def edition(x, y, near=lambda p, q: False) -> str:
@@ -408,7 +409,7 @@ def compare(pairs: DataFrame, records: DataFrame, table: dict[str, np.ndarray],
     return c.groupBy("b").agg(F.collect_list(F.struct("a", "cosine", "start", "codes")).alias("c"))
 
 
-def calibrate(compared: DataFrame, rounds: int = 6) -> DataFrame:
+def calibrate(compared: DataFrame, rounds: int = 8) -> DataFrame:
     """(a, b, cosine, confidence, weight): the candidates with their confidence and its log odds.
 
     A latent-class model with outcomes independent within a class, fitted by expectation maximisation over all

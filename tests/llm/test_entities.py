@@ -4,21 +4,25 @@ from annalist.llm import entities as e
 
 
 @pytest.mark.parametrize(
-    "name, hebrew, want",
+    "name, want",
     [
-        ("Commentary of Rokhoh Part II on Datetih", False, ("rochoh", "commentary", "2", None, "datetih")),
-        ("Khebuleb, Perush Vol. 2", False, ("chebuleb", "commentary", "2", None, None)),
-        ("yalqut fakaroch ha-gadol", False, ("fakaroch", "yalkut", None, "major", None)),
-        ("Aggadat_Vuteh_Zuta", False, ("vuteh", "aggadat", None, "minor", None)),
-        ("מ׳ סינשה ח״ב לגוחודוז", True, ("סנשה", None, "2", None, "גחדז")),
-        ("פירוש טדוה זוטא על ריפיניה", True, ("טדה", "commentary", None, "minor", "רפנה")),
-        (None, False, (None, None, None, None, None)),
-        ("", True, (None, None, None, None, None)),
+        ("Commentary of Rokhoh Part II", ["commentary", "of", "rokhoh", "part", "ii"]),
+        ("Yalqut Fakaro\u1e25 HaGadol", ["yalqut", "fakaroh", "ha", "gadol"]),
+        ("Aggadat_Vuteh_Zuta", ["aggadat", "vuteh", "zuta"]),
+        ("\u05de\u05f3 \u05e1\u05d9\u05e0\u05e9\u05d4 \u05d7\u05f4\u05d1", ["\u05de", "\u05e1\u05d9\u05e0\u05e9\u05d4", "\u05d7\u05d1"]),
+        (None, []),
+        ("", []),
+        (" - ", []),
     ],
 )
-def test_names(name, hebrew, want):
-    r = e.read_name(name, hebrew)
-    assert (r["core"], r["kind"], r["part"], r["size"], r["on"]) == want
+def test_words(name, want):
+    assert e.name_words(name) == want
+
+
+def test_tokens_and_letters():
+    assert e.word_tokens("abc") == ["m:^a", "m:ab", "m:bc", "m:c$", "l:^ab", "l:abc", "l:bc$"]
+    assert e.word_tokens("\u05d0\u05d1") == ["h:^\u05d0", "h:\u05d0\u05d1", "h:\u05d1$"]
+    assert [e.edit_distance(*x) for x in (("abc", "abc"), ("abc", "acb"), ("kitten", "sitting"), ("", "ab"))] == [0, 2, 3, 2]
 
 
 CAT = "filename string, he_title string, title string, words string, cat1 string, latin string"
@@ -55,17 +59,33 @@ def test_match(spark):
     assert all(0.5 <= r.confidence <= 1 for r in rows)
 
 
-def test_blocking_recall(spark):
-    """Every pair that the comparison of all pairs accepts is found through the buckets, to nine tenths at least."""
+def test_walks_follow_the_graph(spark):
+    """Every step of a walk leads to a node of the record before it, and on to nodes of a record that has it."""
+    cat, old, _ = tables(spark)
+    records, _, frequent = e.prepare(cat, old)
+    nodes = [set(r.nodes) for r in records.collect()]
+    assert {"midrash", "sefer", "zuta"} <= set(frequent) and any(f"w:{w}" in n for w in frequent for n in nodes)
+    walks = [r.walk for r in e.random_walks(records).limit(200).collect()]
+    assert len(walks) == 200
+    for w in walks:
+        assert any(n <= set(w) for n in ({w[0], w[1]},)) and len(w) > e.HOPS
+        assert any(set(w[: min(e.BESIDE, 3)]) <= n for n in nodes)
+
+
+@pytest.mark.parametrize("bits", [5, 11, 15])
+def test_blocking_recall(spark, bits):
+    """Every pair that the comparison of all pairs accepts is found through the buckets, to nine tenths at least, with few
+    planes and with as many as far larger tables have."""
     from pyspark.sql import functions as F
 
     cat, old, _ = tables(spark)
-    records, _ = e.prepare(cat, old)
-    records = e.record_vectors(records, e.train_vectors(records))
-    found = {(r.a, r.b) for r in e.candidates(records, 5).collect()}
+    records, _, frequent = e.prepare(cat, old)
+    table = e.weighted(records, e.train_vectors(records))
+    records = e.materialize(e.record_vectors(records, table, set(frequent), e.tables_for(bits)), "vectors")
+    found = {(r.a, r.b) for r in e.candidates(records, bits).collect()}
     ids = records.select("rid", "side")
     every = ids.where("side = 'a'").select(F.col("rid").alias("a")).join(ids.where("side = 'b'").select(F.col("rid").alias("b")))
-    good = {(r.a, r.b) for r in e.calibrate(e.compare(every, records)).where("confidence >= 0.5").collect()}
+    good = {(r.a, r.b) for r in e.calibrate(e.compare(every, records, table, set(frequent))).where("confidence >= 0.5").collect()}
     assert good and len(good & found) >= 0.9 * len(good)
 
 
