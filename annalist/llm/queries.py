@@ -142,6 +142,28 @@ def p6_pieces(spark, sf_dir):
     ).unionByName(chunk.select(F.lit("rabani_unsmoothed_table").alias("tbl"), "*"), allowMissingColumns=True)
 
 
+def _restored_sql(tbl: str, column: str, limit: int) -> str:
+    return f"SELECT '{tbl}' AS tbl, row_id, array_to_string({_words(column)}, ' ') AS words, true AS within FROM {tbl} WHERE {column} IS NOT NULL"
+
+
+@R.add("p6_restored", f"{_restored_sql('corpus_segments', 'sentence', 250)} UNION ALL {_restored_sql('rabani_unsmoothed_table', 'chunk', 50)}")
+def p6_restored(spark, sf_dir):
+    """The words of every row put together again from its pieces, overlaps left out, and whether all pieces are within the
+    limit and overlap as asked (the last word of a piece is that many words behind the first of the next)."""
+    from annalist.functions.text import words
+
+    out = []
+    for tbl, pieces, limit, overlap in zip(("corpus_segments", "rabani_unsmoothed_table"), _pieces(spark, sf_dir, True), (250, 50), (20, 5), strict=True):
+        names = ["row_id", *["x"] * (len(pieces.columns) - 6), "piece_no", "pieces", "from_word", "to_word", "piece"]
+        p = pieces.toDF(*[n if n != "x" else f"x{i}" for i, n in enumerate(names)]).select("row_id", "piece_no", "from_word", "to_word", words("piece").alias("w"))
+        g = p.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", "from_word", "to_word", "w"))).alias("p"))  # the pieces of one row
+        rest = F.transform("p", lambda s, i: F.when(i == 0, s["w"]).otherwise(F.slice(s["w"], overlap + 1, F.greatest(F.size(s["w"]), F.lit(1)))))
+        near = F.forall(F.transform("p", lambda s, i: (i == 0) | (F.get("p", i - 1)["to_word"] - s["from_word"] + 1 == overlap)), lambda x: x)
+        within = F.forall("p", lambda s: F.size(s["w"]) <= limit) & near
+        out.append(g.select(F.lit(tbl).alias("tbl"), "row_id", F.array_join(F.flatten(rest), " ").alias("words"), within.alias("within")))
+    return out[0].unionByName(out[1])
+
+
 def _n_words(column: str) -> str:
     return f"len({_words(column)})"
 
