@@ -72,7 +72,7 @@ def test_walks_follow_the_graph(spark):
         assert any(set(w[: min(e.BESIDE, 3)]) <= n for n in nodes)
 
 
-@pytest.mark.parametrize("bits", [5, 11, 15])
+@pytest.mark.parametrize("bits", [5, 11, 15, 21])
 def test_blocking_recall(spark, bits):
     """Every pair that the comparison of all pairs accepts is found through the buckets, to nine tenths at least, with few
     planes and with as many as far larger tables have."""
