@@ -457,6 +457,25 @@ def test_alignment(spark):
     assert got == {("a", 0): ("N", True), ("a", 1): ("X", False), ("a", 2): ("A", False)}
 
 
+def test_alignment_joins_nothing(spark, tmp_path):
+    """Words are far more than the documents' size tells, so a join of them may be planned with a broadcast."""
+    from annalist.operators import alignment
+    from annalist.plans import more_queries
+
+    rows = [(1, 'ab,c d -- שד"ל'), (1, "xyz"), (2, ""), (3, None), (None, "a!"), (4, "-abcd " * 3000)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    d = more_queries.token_alignment(spark, str(tmp_path))
+    assert "Join" not in d._jdf.queryExecution().toString()
+    got = sorted(((r.text_id or 0), r.word_position, r.pos) for r in d.collect())
+    assert got == sorted([(1, 0, "T2"), (1, 1, "T1"), (1, 2, "X"), (1, 3, "T2"), (1, 0, "T0"), (0, 0, "T1"), *[(4, i, "T1") for i in range(3000)]])
+    w = spark.createDataFrame([("a", 5, "ab"), ("a", 7, None), ("a", 9, "c"), ("b", 0, "-"), ("c", 0, "--"), (None, 0, "a"), ("d", 0, "ab"), ("e", 0, "ab")], "text_id string, word_position int, word string")
+    t = [("a", 0, "a", "PUNCT", True), ("a", 1, "b", None, None), ("a", 2, "c", "PUNCT", True), ("c", 0, "-", "N", True), (None, 0, "a", "N", True), ("d", 0, "a", "N", True), ("e", 0, "abc", "N", True)]
+    t = spark.createDataFrame(t, "text_id string, token_position bigint, token string, pos string, has_prefix boolean")
+    a = alignment.align_tokens(w, t)
+    assert "Join" not in a._jdf.queryExecution().toString()
+    assert sorted(map(tuple, a.collect())) == [("a", 5, "PUNCT", False), ("a", 7, "X", False), ("a", 9, "PUNCT", False), ("c", 0, "X", False)]
+
+
 def test_tree_of_titles():
     from annalist.operators.alignment import flatten_titles
 
