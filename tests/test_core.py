@@ -401,6 +401,43 @@ def test_corpus_elbow_reads_the_corpus(spark, tmp_path):
     assert [r.bend for r in got] == pytest.approx(list(bend), abs=1e-8)
 
 
+def test_kernel_splits_at_every_length(spark, tmp_path, monkeypatch):
+    """The strips give what the whole kernel matrix gives, and no length is refused."""
+
+    def whole(x, most, least):
+        d = np.maximum(((x[:, None] - x) ** 2).sum(axis=2), 0)
+        apart = d[np.triu_indices(len(x), 1)]
+        k = np.exp(-d / (np.median(apart[apart > 0]) if (apart > 0).any() else 1.0))
+        cost = lambda a, b: (b - a) - k[a:b, a:b].sum() / (b - a)
+        open_, out = {(0, len(x))}, []
+        while len(out) < most:
+            options = [(cost(a, b) - cost(a, t) - cost(t, b), -t, a, b) for a, b in open_ for t in range(a + least, b - least + 1)]
+            if not options:
+                break
+            gain, t, a, b = max((round(o[0], 9), *o[1:]) for o in options)
+            open_ = open_ - {(a, b)} | {(a, -t), (-t, b)}
+            out.append((len(out) + 1, -t, gain))
+        return out
+
+    rng = np.random.default_rng(8)
+    for held in (1, 50, 700, 1_000_000):
+        monkeypatch.setattr(sequence, "KERNEL_VALUES", held)
+        for x in (rng.standard_normal((60, 3)) + (np.arange(60) > 23)[:, None] * 2, np.ones((9, 2)), rng.integers(0, 2, (31, 1)) * 1.0, rng.standard_normal((3, 2)), rng.standard_normal((5, 2))):
+            got, want = sequence.kernel_splits(x, 6, 2), whole(x, 6, 2)
+            assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=2e-9)
+            d = ((x[:, None] - x) ** 2).sum(axis=2)[np.triu_indices(len(x), 1)]
+            assert sequence.median_distance(x) == pytest.approx(np.median(d[d > 0]) if (d > 0).any() else 1.0, rel=1e-12)
+    monkeypatch.undo()
+    x = rng.standard_normal((3_200, 8)) + (np.arange(3_200) >= 1_234)[:, None] * 3
+    assert sequence.kernel_splits(x, 1, 2)[0][1] == 1_234
+    from annalist.plans import sequence_queries
+
+    monkeypatch.setattr(sequence_queries, "B", 1)
+    rows = [("a", i, i, [float(j) for j in v] + [1.0] * 56) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "filename string, chunk_number int, row_id bigint, vec array<double>").write.parquet(f"{tmp_path}/rabani_unsmoothed_table.parquet")
+    assert {(r.place, r.block) for r in sequence_queries.binseg_rbf(spark, str(tmp_path)).collect()} > {(1, 1_234)}
+
+
 def test_queries_take_all_permutations_seeds_and_epochs(spark, tmp_path):
     from annalist.plans import model_queries, more_queries, sequence_queries
 
