@@ -453,6 +453,16 @@ def test_queries_take_all_permutations_seeds_and_epochs(spark, tmp_path):
     assert more_queries._SEEDS == 5
 
 
+def test_word_vectors_are_trained_in_parcels(spark, monkeypatch):
+    """The parts grow with the words, and every word is trained on in every epoch."""
+    df = spark.createDataFrame([(f"alpha beta {'gamma' if i % 2 else 'delta'} beta",) for i in range(40)] + [(None,), ("",)], "chunk string")
+    assert models.train_word_vectors(df, "chunk").getNumPartitions() == 1
+    monkeypatch.setattr(models, "PARCEL_WORDS", 50)
+    m = models.train_word_vectors(df, "chunk")
+    assert (m.getNumPartitions(), m.getMaxIter(), m.getVectorSize(), m.getMinCount()) == (3, 10, 100, 5)
+    assert {r.word for r in m.getVectors().collect()} == {"alpha", "beta", "gamma", "delta"}
+
+
 def test_layout():
     rng = np.random.default_rng(2)
     p = rng.standard_normal((8, 2))
